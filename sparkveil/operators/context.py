@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.catalogs import DOCUMENT_CLASSES
+from ..functions.folds import constants, let
 from .dedupe import dedupe_exact, normalize_type
 
 GENERIC = "GENERIC"
@@ -13,15 +14,16 @@ GENERIC = "GENERIC"
 
 def classify_document(text: Column) -> Column:
     """Best-scoring document class; a keyword counts once, as a substring."""
-    low = F.lower(text)
-    scores = [
-        F.struct(
-            sum((F.contains(low, F.lit(w)).cast("int") for w in words), F.lit(0)).alias("score"),
-            F.lit(-i).alias("rank"), F.lit(name).alias("name"))
-        for i, (name, words, _, _) in enumerate(DOCUMENT_CLASSES)
-    ]
-    best = F.array_max(F.array(*scores))
-    return F.coalesce(F.when(best["score"] > 0, best["name"]), F.lit(GENERIC))
+    classes = F.array(*[
+        F.struct(F.lit(-i).alias("rank"), F.lit(name).alias("name"), constants(words).alias("words"))
+        for i, (name, words, _, _) in enumerate(DOCUMENT_CLASSES)])
+
+    def score(low):
+        return F.array_max(F.transform(classes, lambda c: F.struct(
+            F.size(F.filter(c["words"], lambda w: F.contains(low, w))).alias("score"), c["rank"], c["name"])))
+
+    best = let(F.lower(text), score)
+    return let(best, lambda b: F.coalesce(F.when(b["score"] > 0, b["name"]), F.lit(GENERIC)))
 
 
 def expected_types(spark) -> DataFrame:
@@ -37,15 +39,14 @@ def filter_by_context(hits: DataFrame, docs: DataFrame, key="doc_id", text="text
     their canonical names, at most as many as the class allows, ordered by the
     class's list of types (``place``).
     """
-    spark = hits.sparkSession
     classes = docs.select(key, classify_document(F.col(text)).alias("document_type"))
     typed = hits.join(classes, key)
-    generic = dedupe_exact(typed.filter(F.col("document_type") == GENERIC), (key,), (order,))
-    generic = generic.withColumn("place", F.lit(0))
-    named = typed.filter(F.col("document_type") != GENERIC).withColumn("type", normalize_type(F.col("type")))
+    free = F.col("document_type") == GENERIC
+    typed = typed.withColumn("type", F.when(free, F.col("type")).otherwise(normalize_type(F.col("type"))))
     # the table of expected types is a constant of this package
-    fitting = named.join(F.broadcast(expected_types(spark)), ["document_type", "type"])
+    table = F.broadcast(expected_types(hits.sparkSession))
+    fitting = typed.join(table, ["document_type", "type"], "left").filter(free | F.col("most").isNotNull())
     firsts = dedupe_exact(fitting, (key,), (order,))
     best = Window.partitionBy(key).orderBy(F.desc("confidence"), F.asc(order))
-    top = firsts.withColumn("__n", F.row_number().over(best)).filter(F.col("__n") <= F.col("most"))
-    return generic.unionByName(top.drop("__n", "most").select(generic.columns))
+    top = firsts.withColumn("__n", F.row_number().over(best)).filter(free | (F.col("__n") <= F.col("most")))
+    return top.drop("__n", "most").withColumn("place", F.coalesce("place", F.lit(0)))

@@ -274,7 +274,7 @@ def rupees(paise: Column) -> Column:
 
 def time_ago(at: Column, now: Column) -> Column:
     """How long ago, in words; older than 30 days as a date."""
-    secs = F.unix_micros(now) - F.unix_micros(at)
+    secs = F.unix_micros(now.cast("timestamp")) - F.unix_micros(at.cast("timestamp"))
     mins, hours, days = (F.floor(secs / x) for x in (60_000_000, 3_600_000_000, 86_400_000_000))
 
     def words(n, unit):

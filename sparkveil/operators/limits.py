@@ -15,7 +15,7 @@ def rate_limit(events: DataFrame, most: int, window: float, keys=("endpoint", "c
     limit = F.lit(int(window * 1_000_000))
 
     def step(times, r):
-        now = F.unix_micros(r[ts])
+        now = F.unix_micros(r[ts].cast("timestamp"))
         live = F.filter(times, lambda t: now - t < limit)
         ok = F.size(live) < most
         return F.when(ok, F.concat(live, F.array(now))).otherwise(live), ok
@@ -33,7 +33,7 @@ def rate_limit_counter(events: DataFrame, most: int, window: float, keys=("endpo
     state = "struct<opened:bigint,n:int>"
 
     def step(s, r):
-        now = F.unix_micros(r[ts])
+        now = F.unix_micros(r[ts].cast("timestamp"))
         fresh = (s["n"] == 0) | (now - s["opened"] >= limit)
         n = F.when(fresh, 1).otherwise(s["n"] + 1)
         nxt = F.struct(F.when(fresh, now).otherwise(s["opened"]).alias("opened"), n.alias("n"))
@@ -52,7 +52,7 @@ def rate_screen(events: DataFrame, most: int, window: int, keys=("endpoint", "cl
     window and counted inside (key, window): a hot key spreads over its windows.
     """
     span = window * 1_000_000
-    at = F.unix_micros(F.col(ts))
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
     rows = events.withColumns({"__at": at, "__cell": F.floor(at / span)})
     both = rows.withColumn("__own", F.explode(F.array(F.lit(True), F.lit(False))))
     both = both.withColumn("__cell", F.when(F.col("__own"), F.col("__cell")).otherwise(F.col("__cell") + 1))

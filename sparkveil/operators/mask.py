@@ -147,7 +147,7 @@ def sanitize_columns(df: DataFrame) -> DataFrame:
 
 
 def _redacted(c: Column, t: T.DataType) -> Column:
-    if isinstance(t, T.TimestampType):
+    if isinstance(t, (T.TimestampType, T.TimestampNTZType)):
         return F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'")
     if isinstance(t, T.StructType):
         keep = [f for f in t.fields if f.name not in SECRET_KEYS]

@@ -57,7 +57,7 @@ def replay(events: DataFrame, keys: list[str], ts: str, order: list[str], state0
 
     spark = events.sparkSession
     root = scratch_path(spark, f"replay-{uuid.uuid4().hex}")
-    bucket = F.floor(F.unix_seconds(F.col(ts)) / bucket_seconds)
+    bucket = F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / bucket_seconds)
     counted = events.groupBy(*keys, bucket.alias("__b")).agg(F.count("*").alias("__n"))
     upto = F.sum("__n").over(Window.partitionBy(*keys).orderBy("__b"))
     blocks = counted.withColumn("__block", F.floor((upto - 1) / slice_rows))
