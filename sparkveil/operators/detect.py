@@ -204,7 +204,7 @@ def _finish(df: DataFrame, stages: list, out: str) -> DataFrame:
     """Apply array stages one select at a time, then drop the helpers."""
     for stage in stages:
         df = df.withColumn(out, stage(F.col(out)))
-    return df.drop(*[c for c in df.columns if c.startswith("__")])
+    return df.drop("__text", *[f"__{name}" for name in GUARDS])
 
 
 def add_base_hits(df, text="text", out="hits", types=None, catalog=None, same_span="confidence"):

@@ -103,12 +103,12 @@ def files(spark, sf):
     return g.select(
         cat("B", F.col("s")).alias("batch_id"), cat("file_", F.col("file_ord"), ".", ext).alias("filename"), "file_ord",
         ((F.col("s") + F.col("file_ord")) % 7 != 0).alias("success"), "pii_count", "page_count", "processed_at",
-        (F.col("q") / 10).alias("processing_time"), F.upper(ext).alias("format"))
+        (F.col("q") / 4).alias("processing_time"), F.upper(ext).alias("format"))
 
 
 FILES = f"""SELECT concat('B', s) AS batch_id,
  concat('file_', file_ord, '.', {sql_list(FORMATS)}[file_ord % {len(FORMATS)} + 1]) AS filename, file_ord,
- (s + file_ord) % 7 <> 0 AS success, pii_count, page_count, processed_at, q / 10.0::DOUBLE AS processing_time,
+ (s + file_ord) % 7 <> 0 AS success, pii_count, page_count, processed_at, q / 4.0::DOUBLE AS processing_time,
  upper({sql_list(FORMATS)}[file_ord % {len(FORMATS)} + 1]) AS format
  FROM (SELECT l_suppkey AS s, l_partkey % 40 AS file_ord, count(*) AS pii_count, max(l_linenumber) AS page_count,
   sum(l_quantity::BIGINT) AS q, max(l_shipdate) AS processed_at FROM lineitem GROUP BY 1, 2)"""

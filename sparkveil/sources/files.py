@@ -117,7 +117,8 @@ def csv_as_document(df: DataFrame, file: list[str], position: str, cols: list[st
     packed = F.array_sort(F.collect_list(F.struct("__p", "__line", *names)))
     blocks = rows.groupBy(*file, "block").agg(packed.alias("__rows"))
     lines = F.array_join(F.transform("__rows", lambda r: r["__line"]), "\n")
-    flat = F.flatten(F.array(*[F.transform("__rows", lambda r, n=n: r[n]) for n in names]))
+    column = lambda n: F.transform("__rows", lambda r: r[n])
+    flat = F.flatten(F.array(*[column(n) for n in names]))
     flat = F.filter(flat, lambda x: x.isNotNull() & (F.length(strip(x)) > 0))
     return blocks.select(*file, "block", F.concat(lines, F.lit("\n"), F.array_join(flat, " ")).alias("text"))
 
@@ -184,10 +185,20 @@ def prefer_fallback_blocks(blocks: DataFrame, other: DataFrame, threshold=0.65,
 
 
 def human_size(c: Column) -> Column:
-    """Bytes with a unit, two decimals, base 1024."""
-    chain = None
-    for power, unit in enumerate(["B", "KB", "MB", "GB"]):
-        shown = F.format_string(f"%.2f {unit}", c / float(1024 ** power))
-        test = c < 1024 ** (power + 1)
-        chain = F.when(test, shown) if chain is None else chain.when(test, shown)
-    return chain.otherwise(F.format_string("%.2f TB", c / float(1024 ** 4)))
+    """Bytes with a unit, two decimals, base 1024; exact halves go to even."""
+    n = c.cast("bigint")
+
+    def shown(power, unit):
+        size = F.lit(1024 ** power).cast("bigint")
+        whole, rest = F.floor(n / size).cast("bigint"), n % size
+        cents = F.floor(rest * 100 / size).cast("bigint")
+        left = rest * 100 - cents * size
+        up = (left * 2 > size) | ((left * 2 == size) & (cents % 2 == 1))
+        total = whole * 100 + cents + up.cast("bigint")
+        return F.concat(F.floor(total / 100).cast("string"), F.lit("."),
+                        F.lpad((total % 100).cast("string"), 2, "0"), F.lit(f" {unit}"))
+
+    return (
+        F.when(n < 1024, shown(0, "B")).when(n < 1024 ** 2, shown(1, "KB"))
+        .when(n < 1024 ** 3, shown(2, "MB")).when(n < 1024 ** 4, shown(3, "GB")).otherwise(shown(4, "TB"))
+    )
