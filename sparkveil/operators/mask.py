@@ -50,15 +50,16 @@ def _quoted(v: Column) -> Column:
     return F.concat(F.lit(r"(?iu)\Q"), F.replace(v, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
 
 
+def replace_one(t: Column, r: Column, new: Column) -> Column:
+    """Replace one item's value where it occurs, any case for caseless items."""
+    swapped = F.when(r["caseless"], F.regexp_replace(t, _quoted(r["value"]), new)).otherwise(
+        F.replace(t, r["value"], new))
+    return F.when(F.contains(t, r["value"]), swapped).otherwise(t)
+
+
 def replace_all(text: Column, items: Column, new_value) -> Column:
     """Replace every item's value in the text, in array order."""
-    def step(t, r):
-        new = new_value(r)
-        swapped = F.when(r["caseless"], F.regexp_replace(t, _quoted(r["value"]), new)).otherwise(
-            F.replace(t, r["value"], new))
-        return F.when(F.contains(t, r["value"]), swapped).otherwise(t)
-
-    return F.aggregate(items, text, step)
+    return F.aggregate(items, text, lambda t, r: replace_one(t, r, new_value(r)))
 
 
 def masked_text(text: Column, hits: Column) -> Column:

@@ -62,12 +62,14 @@ def latest_totals(spark: SparkSession, path: str, key="batch_id") -> DataFrame:
 
 
 def stream_rate_limit(events: DataFrame, most: int, window: float, keys=("endpoint", "client"), ts="ts",
-                      order="event_id", idle="1 hour") -> DataFrame:
-    """Exact limiter on a stream.  State per key: at most ``most`` admitted times;
-    a key silent for ``idle`` gives its state back."""
+                      order="event_id", delay="1 hour") -> DataFrame:
+    """Exact limiter on a stream.  State per key: at most ``most`` admitted times.
+
+    Events may be late by ``delay``; once the watermark has passed a key's last
+    admitted time by a window, its state is given back.
+    """
     keys = list(keys)
     limit = int(window * 1_000_000)
-    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
 
     def decide(key, frames, state):
         if state.hasTimedOut:
@@ -84,23 +86,21 @@ def stream_rate_limit(events: DataFrame, most: int, window: float, keys=("endpoi
             if ok:
                 times.append(int(now))
         state.update((times,))
-        state.setTimeoutDuration(idle_ms)
+        state.setTimeoutTimestamp((max(times) + limit) // 1000 + 1)
         rows["admitted"] = passed
         yield rows[[*keys, ts, order, "admitted"]]
 
     fields = {f.name: f.dataType.simpleString() for f in events.schema.fields}
     out = ", ".join(f"{c} {fields[c]}" for c in [*keys, ts, order]) + ", admitted boolean"
-    return events.select(*keys, ts, order).groupBy(*keys).applyInPandasWithState(
-        decide, out, "times array<bigint>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    timed = events.select(*keys, ts, order).withWatermark(ts, delay)
+    return timed.groupBy(*keys).applyInPandasWithState(
+        decide, out, "times array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def stream_ledger(events: DataFrame, user="user_id", ts="ts", order="event_id", start=150, idle="30 days") -> DataFrame:
-    """Debits admitted on a stream.  State per user: the balance."""
-    idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
-
+def stream_ledger(events: DataFrame, user="user_id", ts="ts", order="event_id", start=150) -> DataFrame:
+    """Debits admitted on a stream.  State per user: one number, the balance,
+    which must outlive any silence and so has no timeout."""
     def decide(key, frames, state):
-        if state.hasTimedOut:
-            return  # keep the balance: it must outlive silence
         balance = state.get[0] if state.exists else start
         rows = pd.concat(list(frames)).sort_values([ts, order])
         passed, after = [], []
@@ -110,7 +110,6 @@ def stream_ledger(events: DataFrame, user="user_id", ts="ts", order="event_id",
             passed.append(ok)
             after.append(balance)
         state.update((int(balance),))
-        state.setTimeoutDuration(idle_ms)
         rows["admitted"], rows["balance_after"] = passed, after
         yield rows[[user, ts, order, "amount", "admitted", "balance_after"]]
 
@@ -118,7 +117,7 @@ def stream_ledger(events: DataFrame, user="user_id", ts="ts", order="event_id",
     out = f"{user} {fields[user]}, {ts} {fields[ts]}, {order} {fields[order]}, amount bigint, " \
           "admitted boolean, balance_after bigint"
     return events.select(user, ts, order, "amount").groupBy(user).applyInPandasWithState(
-        decide, out, "balance bigint", "append", GroupStateTimeout.ProcessingTimeTimeout)
+        decide, out, "balance bigint", "append", GroupStateTimeout.NoTimeout)
 
 
 def _unit(s: pd.Series) -> int:
