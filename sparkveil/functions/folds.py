@@ -20,9 +20,10 @@ def constants(values, type_: str = "string") -> Column:
 def ordered_fold(items: Column, state: Column, step, out_type: str, chunk: int = 256) -> Column:
     """Walk ``items`` in order with a running state, emitting one value per item.
 
-    ``step(state, item)`` returns ``(next_state, emitted)``.  The emitted values
-    are gathered in blocks of ``chunk`` so that appending stays close to linear
-    even for very long arrays.
+    ``step(state, item)`` returns ``(next_state, emitted)``, or one struct column
+    with the fields ``s`` and ``e`` where both rest on the same work.  The emitted
+    values are gathered in blocks of ``chunk`` so that appending stays close to
+    linear even for very long arrays.
     """
     block = f"array<{out_type}>"
     empty = F.array().cast(block)
@@ -31,8 +32,10 @@ def ordered_fold(items: Column, state: Column, step, out_type: str, chunk: int =
         return F.struct(s.alias("s"), done.alias("done"), cur.alias("cur"))
 
     def inner(acc, item):
-        nxt, emitted = step(acc["s"], item)
-        return pack(nxt, acc["done"], F.concat(acc["cur"], F.array(emitted)))
+        out = step(acc["s"], item)
+        if isinstance(out, tuple):
+            return pack(out[0], acc["done"], F.concat(acc["cur"], F.array(out[1])))
+        return let(out, lambda o: pack(o["s"], acc["done"], F.concat(acc["cur"], F.array(o["e"]))))
 
     def run(arr):
         def outer(acc, off):

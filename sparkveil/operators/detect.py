@@ -264,6 +264,17 @@ def _in_text_order(hits: Column) -> Column:
     return F.transform(placed, lambda r: r["hit"])
 
 
+def balanced(df: DataFrame) -> DataFrame:
+    """Documents spread over the cores where the scan has too few partitions.
+
+    Detection is bound by the processor, so a handful of large input splits
+    would leave most cores idle.  A scan with enough splits is left alone: at
+    scale the text is never shuffled.
+    """
+    wanted = 2 * df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+
+
 ADDERS = {
     "base": add_base_hits, "context": add_context_hits,
     "label": add_label_hits, "generic": add_generic_hits,

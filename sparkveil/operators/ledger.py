@@ -96,7 +96,7 @@ def admit_debits(events: DataFrame, user="user_id", at="ts", order="event_id",
         ok = F.col(unlimited) | (amount <= 0) | (balance >= amount)
         after = F.when(F.col(unlimited) | ~ok, balance).otherwise(balance - amount)
         shown = F.when(F.col(unlimited), F.lit(None).cast("bigint")).otherwise(after)
-        return after, F.struct(ok.alias("admitted"), shown.alias("balance_after"))
+        return F.struct(after.alias("s"), F.struct(ok.alias("admitted"), shown.alias("balance_after")).alias("e"))
 
     out = replay(events, keys, at, [at, order], zero, step, "bigint",
                  "struct<admitted:boolean,balance_after:bigint>", slice_rows)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.folds import let
 from .replay import SLICE_ROWS, replay
 
 
@@ -17,8 +18,9 @@ def rate_limit(events: DataFrame, most: int, window: float, keys=("endpoint", "c
     def step(times, r):
         now = F.unix_micros(r[ts].cast("timestamp"))
         live = F.filter(times, lambda t: now - t < limit)
-        ok = F.size(live) < most
-        return F.when(ok, F.concat(live, F.array(now))).otherwise(live), ok
+        return let(live, lambda x: F.struct(
+            F.when(F.size(x) < most, F.concat(x, F.array(now))).otherwise(x).alias("s"),
+            (F.size(x) < most).alias("e")))
 
     out = replay(events, list(keys), ts, [ts, order], F.array().cast("array<bigint>"), step,
                  "array<bigint>", "boolean", slice_rows)
@@ -37,7 +39,7 @@ def rate_limit_counter(events: DataFrame, most: int, window: float, keys=("endpo
         fresh = (s["n"] == 0) | (now - s["opened"] >= limit)
         n = F.when(fresh, 1).otherwise(s["n"] + 1)
         nxt = F.struct(F.when(fresh, now).otherwise(s["opened"]).alias("opened"), n.alias("n"))
-        return nxt, n <= most
+        return F.struct(nxt.alias("s"), (n <= most).alias("e"))
 
     out = replay(events, list(keys), ts, [ts, order], F.struct(F.lit(0).cast("bigint").alias("opened"), F.lit(0).alias("n")),
                  step, state, "boolean", slice_rows)

@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.folds import ordered_fold
+from ..functions.folds import let, ordered_fold
 from ..sources.scratch import scratch_path
 
 SLICE_ROWS = 50_000
@@ -28,9 +28,10 @@ def _fold(rows: DataFrame, keys, order, state0: Column, step, state_type, report
         F.array_sort(F.collect_list(packed)).alias("__rows"), F.first("__state", True).alias("__state"))
 
     def wrapped(s, r):
-        nxt, report = step(s, r)
-        return nxt.cast(state_type), F.struct(
-            nxt.cast(state_type).alias("next"), report.cast(report_type).alias("report"), r.alias("row"))
+        return let(step(s, r), lambda o: F.struct(
+            o["s"].cast(state_type).alias("s"),
+            F.struct(o["s"].cast(state_type).alias("next"), o["e"].cast(report_type).alias("report"),
+                     r.alias("row")).alias("e")))
 
     start = F.coalesce(F.col("__state"), state0.cast(state_type))
     emit = f"struct<next:{state_type},report:{report_type},row:{row_type}>"
@@ -41,8 +42,8 @@ def replay(events: DataFrame, keys: list[str], ts: str, order: list[str], state0
            state_type: str, report_type: str, slice_rows: int = SLICE_ROWS, bucket_seconds: int = 1) -> DataFrame:
     """Rows of ``events`` with the outcome of the rule in ``report``.
 
-    ``step(state, row)`` returns ``(next state, report)``; ``state0`` may use
-    ``keys``.  ``order`` starts with the time column ``ts`` and must be unique
+    ``step(state, row)`` returns a struct of ``s``, the next state, and ``e``, the
+    report; ``state0`` may use ``keys``.  ``order`` starts with the time column ``ts`` and must be unique
     within a key.
     """
     keys = list(keys)

@@ -9,7 +9,7 @@ from ..operators.accounts import profile_flags
 from ..operators.detect import detect_base
 from . import corpora as C
 from . import sqlgen as S
-from .detection_queries import DOCS, ENTRY_TYPES, _class_sql
+from .detection_queries import DOCS, ENTRY_TYPES, _class_sql, docs
 from .registry import query
 
 
@@ -46,7 +46,7 @@ ENTRY_HITS = f"SELECT source AS batch_id, type FROM kept JOIN documents USING (d
  FROM kept GROUP BY type)""")
 def document_risk(spark, sf):
     """Per type of hit found in the documents: how many, what share, how risky."""
-    hits = detect_base(C.table(spark, sf, "documents"), types=ENTRY_TYPES).withColumn("batch_id", F.lit("all"))
+    hits = detect_base(docs(spark, sf), types=ENTRY_TYPES).withColumn("batch_id", F.lit("all"))
     # counted once; the shares and the overall risk need only the few counts
     per_type = hits.groupBy("batch_id", "type").agg(F.count("*").alias("n"))
     w = A.risk_weight(F.col("type"))

@@ -21,7 +21,7 @@ ENTRY_TYPES = ["EMAIL", "CARD_NUMBER", "IPV4", "API_KEY"]
 
 
 def docs(spark, sf):
-    return C.table(spark, sf, "documents")
+    return D.balanced(C.table(spark, sf, "documents").select("doc_id", "text"))
 
 
 @query("detect_base", f"WITH RECURSIVE {S.base_ctes(DOCS)} SELECT {HIT_SQL} FROM kept")

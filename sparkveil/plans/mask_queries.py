@@ -11,7 +11,7 @@ from ..operators import mask as M
 from . import corpora as C
 from . import sqlgen as S
 from .analytics_queries import EXPORT
-from .detection_queries import DOCS, ELEMENT_ROWS
+from .detection_queries import DOCS, docs
 from .registry import query
 
 PASSWORD = "correct horse"
@@ -42,9 +42,6 @@ def variations(spark, sf):
     return card_hits(spark, sf).select("doc_id", "type", F.array_join(forms, "|").alias("spellings"))
 
 
-BLANK = "repeat('█', {n})"
-
-
 @query("mask_text", f"""SELECT doc_id, md5(replace(replace(replace(replace(text, concat('user', doc_id, '@example.com'), repeat('█', length(concat('user', doc_id, '@example.com')))),
  concat('2341 2341 ', k4), repeat('█', 14)), concat('9', k9), repeat('█', 10)), concat('ABCDE', k4, 'F'), repeat('█', 10))) AS digest
  FROM (SELECT doc_id, text, lpad((doc_id % 10000)::VARCHAR, 4, '0') AS k4, lpad(doc_id::VARCHAR, 9, '0') AS k9 FROM ({C.CARDS}))""")
@@ -52,10 +49,6 @@ def mask_text(spark, sf):
     return M.mask_text(C.cards(spark, sf), card_hits(spark, sf)).select("doc_id", F.md5("text").alias("digest"))
 
 
-KEPT_VALUES = "SELECT doc_id, list_distinct(list(value)) AS vs FROM kept GROUP BY doc_id"
-FOLD = "list_reduce(list_prepend(d.text, list_sort(list_transform(vs, lambda v: {f}))), lambda t, v: {r})"
-
-
 def _masked_sql():
     return f"""WITH RECURSIVE {S.base_ctes(DOCS, types=MASKED_TYPES)},
  v AS (SELECT doc_id, list(value ORDER BY length(value) DESC, value) AS vs FROM (SELECT DISTINCT doc_id, value FROM kept) GROUP BY doc_id)
@@ -65,13 +58,13 @@ def _masked_sql():
 
 @query("detect_and_mask", _masked_sql())
 def detect_and_mask(spark, sf):
-    return M.detect_and_mask(C.table(spark, sf, "documents"), types=MASKED_TYPES).select("doc_id", F.md5("text").alias("digest"))
+    return M.detect_and_mask(docs(spark, sf), types=MASKED_TYPES).select("doc_id", F.md5("text").alias("digest"))
 
 
 @query("mask_stored_hits", _masked_sql())
 def mask_stored_hits(spark, sf):
-    docs = C.table(spark, sf, "documents")
-    return M.mask_text(docs, D.detect_base(docs, types=MASKED_TYPES)).select("doc_id", F.md5("text").alias("digest"))
+    texts = docs(spark, sf)
+    return M.mask_text(texts, D.detect_base(texts, types=MASKED_TYPES)).select("doc_id", F.md5("text").alias("digest"))
 
 
 @query("mask_spans", f"""WITH RECURSIVE {S.base_ctes(C.CARDS, types=['PAN', 'IFSC', 'CUSTOMER_ID'])},
@@ -135,10 +128,10 @@ def encrypt_values(spark, sf):
 
 
 def _sealed(spark, sf):
-    docs, hits = _batched(C.cards(spark, sf)), _batched(card_hits(spark, sf))
+    texts, hits = _batched(C.cards(spark, sf)), _batched(card_hits(spark, sf))
     # the mail is stored in another spelling than in the text, so that sealing and
     # opening it would not give the text back letter by letter
-    return K.hash_mask_text(docs, hits.filter("type <> 'EMAIL'").drop("batch_id"), PASSWORD)
+    return K.hash_mask_text(texts, hits.filter("type <> 'EMAIL'").drop("batch_id"), PASSWORD)
 
 
 @query("hash_mask_text", f"""SELECT doc_id, 3 AS tokens, false AS shows_phone FROM ({C.CARDS})""")
