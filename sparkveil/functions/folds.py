@@ -17,40 +17,44 @@ def constants(values, type_: str = "string") -> Column:
     return joined if type_ == "string" else joined.cast(f"array<{type_}>")
 
 
-def ordered_fold(items: Column, state: Column, step, out_type: str, chunk: int = 256) -> Column:
+BLOCK = 16
+
+
+def ordered_fold(items: Column, state: Column, step, out_type: str) -> Column:
     """Walk ``items`` in order with a running state, emitting one value per item.
 
     ``step(state, item)`` returns ``(next_state, emitted)``, or one struct column
-    with the fields ``s`` and ``e`` where both rest on the same work.  The emitted
-    values are gathered in blocks of ``chunk`` so that appending stays close to
-    linear even for very long arrays.
+    with the fields ``s`` and ``e`` where both rest on the same work.
+
+    An aggregate copies its accumulator at every step, so a list growing inside
+    it would cost the square of its length.  Long arrays are therefore folded in
+    blocks of 16, those in blocks of 16 blocks, and so on: every emitted value is
+    copied a few times per level, which is close to linear.
     """
-    block = f"array<{out_type}>"
-    empty = F.array().cast(block)
-
-    def pack(s, done, cur):
-        return F.struct(s.alias("s"), done.alias("done"), cur.alias("cur"))
-
-    def inner(acc, item):
-        out = step(acc["s"], item)
-        if isinstance(out, tuple):
-            return pack(out[0], acc["done"], F.concat(acc["cur"], F.array(out[1])))
-        return let(out, lambda o: pack(o["s"], acc["done"], F.concat(acc["cur"], F.array(o["e"]))))
-
-    def run(arr):
-        def outer(acc, off):
-            start = pack(acc["s"], F.concat(acc["done"], F.array(acc["cur"])), empty)
-            return F.aggregate(F.slice(arr, off + 1, chunk), start, inner)
-
-        offsets = F.sequence(F.lit(0), F.size(arr) - 1, F.lit(chunk))
-        return F.when(F.size(arr) <= 0, empty).otherwise(
-            F.aggregate(
-                offsets, pack(state, F.array().cast(f"array<{block}>"), empty), outer,
-                lambda acc: F.flatten(F.concat(acc["done"], F.array(acc["cur"]))),
-            )
-        )
-
-    return let(items, run)
+    empty = F.array().cast(f"array<{out_type}>")
+
+    def pack(s, out):
+        return F.struct(s.alias("s"), out.alias("out"))
+
+    def push(acc, item):
+        got = step(acc["s"], item)
+        if isinstance(got, tuple):
+            return pack(got[0], F.concat(acc["out"], F.array(got[1])))
+        return F.aggregate(F.array(got), acc, lambda a, o: pack(o["s"], F.concat(a["out"], F.array(o["e"]))))
+
+    def fold(arr, s, level):
+        if level == 0:
+            return F.aggregate(arr, pack(s, empty), push)
+        size = BLOCK ** level
+
+        def block(acc, off):
+            inner = fold(F.slice(arr, off + 1, size), acc["s"], level - 1)
+            return F.aggregate(F.array(inner), acc, lambda a, o: pack(o["s"], F.concat(a["out"], o["out"])))
+
+        return F.aggregate(F.sequence(F.lit(0), F.size(arr) - 1, F.lit(size)), pack(s, empty), block)
+
+    return let(items, lambda arr: F.when(F.size(arr) <= BLOCK, fold(arr, state, 0)["out"])
+               .otherwise(fold(arr, state, 3)["out"]))
 
 
 def first_of_runs(sorted_items: Column, same) -> Column:
