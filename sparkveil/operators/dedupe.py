@@ -209,7 +209,8 @@ def drop_substrings(hits: DataFrame, doc=("doc_id",), order=ROW) -> DataFrame:
     # strongest holder of each distinct value is enough to decide
     values = base.groupBy(*group, "__n").agg(F.max("__r").alias("__r"))
     lengths = values.groupBy(*group).agg(F.collect_set(F.length("__n")).alias("__ls"))
-    longer = F.filter("__ls", lambda x: (x < F.length("__n")) & (x > 0))
+    # length 0 included: an empty value lies inside any other
+    longer = F.filter("__ls", lambda x: x < F.length("__n"))
     cuts = F.flatten(F.transform(longer, lambda n: F.transform(
         F.sequence(F.lit(1), F.length("__n") - n + 1), lambda i: F.substring(F.col("__n"), i, n))))
     inside = (
@@ -218,9 +219,6 @@ def drop_substrings(hits: DataFrame, doc=("doc_id",), order=ROW) -> DataFrame:
         .select(*group, "__r", F.explode(F.array_distinct(cuts)).alias("__n"))
         .groupBy(*group, "__n").agg(F.max("__r").alias("__in"))
     )
-    # an empty value lies inside any non-empty one of its group
-    nonempty = values.filter(F.col("__n") != "").groupBy(*group).agg(F.max("__r").alias("__in")).withColumn("__n", F.lit(""))
-    inside = inside.unionByName(nonempty)
     return (
         base.join(inside, [*group, "__n"], "left")
         .filter(F.col("__in").isNull() | (F.col("__in") < F.col("__r")))
