@@ -42,3 +42,22 @@ def op9(spark, folder):
 
     rows = count_tokens(table(spark, folder, "documents"), tokenizer())
     return rows.withColumn("over_limit", F.col("n_tokens") > 2048)
+
+
+@query("op1_repetition_quality")
+def op1(spark, folder):
+    from .repetition import quality
+
+    return quality(table(spark, folder, "documents"))
+
+
+@query("op7_suffix_array_decontamination")
+def op7(spark, folder):
+    from .decontaminate import find_matches
+
+    rows = find_matches(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark"))
+    items = F.col("_llm_found.items")
+    return rows.select(
+        "doc_id", "_llm_found.n_words", "_llm_found.n_hit", F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", items), 256).alias("items_sha256"), (F.col("_llm_found.n_hit") > 0).alias("contaminated"),
+        F.col("_llm_found.longest").alias("longest_match"))

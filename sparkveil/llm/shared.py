@@ -7,8 +7,11 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 _own: dict[str, str] = {}
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
@@ -66,3 +69,30 @@ def blocks(data: bytes, size: int = 1 << 20) -> Iterator[bytes]:
 def words(text: str | None) -> list[bytes]:
     """Runs of ``[^\\x20\\x09-\\x0D]`` as UTF-8; null has none."""
     return (text or "").encode("utf-8", "surrogatepass").split()
+
+
+def map_texts(docs: DataFrame, work, fields: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``work(texts)`` gives one list for each field, in the order of the texts; rows keep their id as ``doc_id``."""
+    given = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    wanted = StructType.fromDDL(fields)
+    wanted.fields.insert(0, given.schema["doc_id"])
+    kinds = to_arrow_schema(StructType(wanted.fields[1:]))
+
+    def run(batches):
+        for batch in batches:
+            cols = work(batch.column(1).to_pylist())
+            arrays = [batch.column(0), *(pa.array(c, f.type) for c, f in zip(cols, kinds))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", *kinds.names])
+
+    return given.mapInArrow(run, StructType(wanted.fields))
+
+
+def filter_texts(docs: DataFrame, keep, text_col: str = "text") -> DataFrame:
+    """Rows for which ``keep(texts)`` is true, all columns as they are; no shuffle."""
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(keep(batch.column(at).to_pylist()), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
