@@ -61,3 +61,10 @@ def op7(spark, folder):
         "doc_id", "_llm_found.n_words", "_llm_found.n_hit", F.size(items).cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", items), 256).alias("items_sha256"), (F.col("_llm_found.n_hit") > 0).alias("contaminated"),
         F.col("_llm_found.longest").alias("longest_match"))
+
+
+@query("op10_setsketch_near_duplicates")
+def op10(spark, folder):
+    from .setsketch import near_duplicates
+
+    return near_duplicates(table(spark, folder, "documents"), k=4)

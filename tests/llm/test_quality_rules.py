@@ -19,7 +19,9 @@ def plain(text):
     def inside(n):
         grams = [tuple(words[i: i + n]) for i in range(len(words) - n + 1)]
         count = Counter(grams)
-        return {i + k for i, g in enumerate(grams) if count[g] > 1 for k in range(n)}
+        first = {g: i for i, g in reversed(list(enumerate(grams)))}
+        return tuple({i + k for i, g in enumerate(grams) if count[g] > 1 and i > low(first[g]) for k in range(n)}
+                     for low in (lambda at: -1, lambda at: at))
 
     lines = [x for x in text.split("\n") if WORD.search(x)]
     later = [x for i, x in enumerate(lines) if x in set(lines[:i])] if len(lines) < 500 else None
@@ -28,10 +30,10 @@ def plain(text):
         for x in lines:
             (later.append(x) if x in seen else seen.add(x))
     chars = sum(map(len, words))
-    base = len(words) < MIN_WORDS or 100 * len(inside(5)) > 20 * len(words)
-    broken = any(sum(len(words[i]) for i in inside(n)) > share * chars for n, share in MOST_IN_NGRAMS.items())
+    base = len(words) < MIN_WORDS or 100 * len(inside(5)[0]) > 20 * len(words)
+    broken = any(sum(len(words[i]) for i in inside(n)[1]) > share * chars for n, share in MOST_IN_NGRAMS.items())
     broken |= sum(map(len, later)) > MOST_IN_LINES * sum(map(len, lines)) or len(later) > MOST_LINES * len(lines)
-    return (len(words), chars, len(re.findall(r"[#*$%&|<>]", text)), len(later), len(inside(5)), base, not base and not broken)
+    return (len(words), chars, len(re.findall(r"[#*$%&|<>]", text)), len(later), len(inside(5)[0]), base, not base and not broken)
 
 
 def shown(r):
