@@ -68,3 +68,43 @@ def op10(spark, folder):
     from .setsketch import near_duplicates
 
     return near_duplicates(table(spark, folder, "documents"), k=4)
+
+
+@query("op2_external_shuffle_shards")
+def op2(spark, folder):
+    from .shards import shard_rows
+
+    rows = shard_rows(table(spark, folder, "documents").select("doc_id", "text"))
+    text = F.coalesce("text", F.lit(""))
+    return rows.select(
+        "doc_id", (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+LINE_SQL = """
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS pos
+  FROM documents),
+full_lines AS (SELECT * FROM lines WHERE regexp_matches(line, '[^ \\t\\n\\x0B\\f\\r]')),
+triples AS (
+  SELECT doc_id, pos, line AS a, lead(line) OVER w AS b, lead(line, 2) OVER w AS c, lead(pos, 2) OVER w AS last
+  FROM full_lines WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY a, b, c ORDER BY doc_id, pos) AS stands FROM triples WHERE last IS NOT NULL),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(generate_series(pos, last)) AS pos FROM ranked WHERE stands > 1),
+marked AS (
+  SELECT l.doc_id, l.line, l.pos, g.pos IS NOT NULL AS removed, regexp_matches(l.line, '[^ \\t\\n\\x0B\\f\\r]') AS has_word
+  FROM lines l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.pos = g.pos)
+SELECT doc_id, count(*) FILTER (WHERE has_word) AS n_lines, count(*) FILTER (WHERE has_word AND removed) AS n_removed,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT removed), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+
+@query("op5_three_line_windows", LINE_SQL)
+def op5(spark, folder):
+    from .line_windows import drop_repeated_lines
+
+    rows = drop_repeated_lines(table(spark, folder, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "_llm_lines.n_lines", "_llm_lines.n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
