@@ -112,3 +112,20 @@ def op5(spark, folder):
 
     rows = drop_repeated_lines(table(spark, folder, "documents").select("doc_id", "text"))
     return rows.select("doc_id", "_llm_lines.n_lines", "_llm_lines.n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query("op4_positive_unlabelled_toxicity")
+def op4(spark, folder):
+    from .toxicity import fit, score
+
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    fold = F.pmod(F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(0)), F.lit(5))
+    rows = score(docs, *fit(docs, labels, learn=fold != 0))
+    return rows.select("doc_id", (fold == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op8_weak_label_quality")
+def op8(spark, folder):
+    from .weak_quality import judge
+
+    return judge(table(spark, folder, "documents"))
