@@ -129,3 +129,11 @@ def op8(spark, folder):
     from .weak_quality import judge
 
     return judge(table(spark, folder, "documents"))
+
+
+@query("op6_suffix_merge_substrings")
+def op6(spark, folder):
+    from .suffixes import drop_repeats
+
+    rows = drop_repeats(table(spark, folder, "documents"))
+    return rows.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
