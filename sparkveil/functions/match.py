@@ -8,6 +8,8 @@ single regex pass per pattern, whatever the number of matches.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,9 +33,18 @@ GUARDS = {
 }
 
 
+# a repeated group that ends the pattern: nothing after it can need it to give anything back
+LAST_LOOP = re.compile(r"(\((?:[^()\\]|\\.)*\)[*+])(\)*)$")
+
+
 def java_regex(p: Pattern) -> str:
-    """The pattern with Unicode-aware classes, as Java wants it."""
-    return ("(?imsuU)" if p.ignore_case else "(?U)") + p.regex
+    """The pattern with Unicode-aware classes, as Java wants it.
+
+    Java walks a repeated group by recursion, so that a long run of words would
+    end the process; where the group ends the pattern it is made possessive,
+    which matches the same and is a loop.
+    """
+    return ("(?imsuU)" if p.ignore_case else "(?U)") + LAST_LOOP.sub(r"\1+\2", p.regex)
 
 
 def scannable(text: Column) -> Column:

@@ -46,13 +46,14 @@ def replacements(hits: Column) -> Column:
     return F.array_sort(F.array_distinct(each))
 
 
-def _quoted(v: Column) -> Column:
-    return F.concat(F.lit(r"(?iu)\Q"), F.replace(v, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+def quoted(v: Column) -> Column:
+    """A pattern for the value itself."""
+    return F.concat(F.lit(r"\Q"), F.replace(v, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
 
 
 def replace_one(t: Column, r: Column, new: Column) -> Column:
     """Replace one item's value where it occurs, any case for caseless items."""
-    swapped = F.when(r["caseless"], F.regexp_replace(t, _quoted(r["value"]), new)).otherwise(
+    swapped = F.when(r["caseless"], F.regexp_replace(t, F.concat(F.lit("(?iu)"), quoted(r["value"])), new)).otherwise(
         F.replace(t, r["value"], new))
     return F.when(F.contains(t, r["value"]), swapped).otherwise(t)
 

@@ -44,11 +44,19 @@ def type_summary(hits):
         t, F.transform(F.filter(hits, lambda h: h["type"] == t), lambda h: h["value"]))))
 
 
+def _with_hits(found: DataFrame, hits="hits") -> DataFrame:
+    """Rows that have hits. The hits pass through a generator first: a filter on
+    them alone would be pushed below the projection and detect a second time."""
+    rest = [c for c in found.columns if c != hits]
+    once = found.select(*rest, F.explode_outer(F.array(F.struct(F.col(hits).alias(hits)))).alias("__g"))
+    return once.select(*rest, F.col(f"__g.{hits}").alias(hits)).filter(F.size(hits) > 0)
+
+
 def _detect_units(units: DataFrame, text: str) -> DataFrame:
     """Generic hits of each non-blank unit, with count, preview and summary."""
     found = add_generic_hits(units.filter(F.length(strip(F.col(text))) > 0), text=text)
     return (
-        found.filter(F.size("hits") > 0)
+        _with_hits(found)
         .withColumn("pii_count", F.size("hits"))
         .withColumn("content", preview(F.col(text)))
         .withColumn("summary", type_summary(F.col("hits")))
@@ -89,7 +97,7 @@ def line_stats(df: DataFrame, key=("doc_id",), text="text") -> DataFrame:
 def detect_by_page(pages: DataFrame, key=("doc_id", "page"), text="text", types=None) -> DataFrame:
     """Base hits and their number for each page."""
     found = add_base_hits(pages.select(*key, text), text=text, types=types)
-    return found.filter(F.size("hits") > 0).select(*key, F.size("hits").alias("pii_count"), "hits")
+    return _with_hits(found).select(*key, F.size("hits").alias("pii_count"), "hits")
 
 
 def detect_by_element(elements: DataFrame) -> DataFrame:

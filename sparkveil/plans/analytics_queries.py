@@ -9,7 +9,7 @@ from ..operators.accounts import profile_flags
 from ..operators.detect import detect_base
 from . import corpora as C
 from . import sqlgen as S
-from .detection_queries import DOCS, ENTRY_TYPES, _class_sql, docs
+from .detection_queries import DOCS, _class_sql, docs
 from .registry import query
 
 
@@ -36,7 +36,7 @@ LEVEL = "CASE WHEN p >= 70 THEN 'CRITICAL' WHEN p >= 50 THEN 'HIGH' WHEN p >= 30
 ENTRY_HITS = f"SELECT source AS batch_id, type FROM kept JOIN documents USING (doc_id)"
 
 
-@query("document_risk", f"""WITH RECURSIVE {S.base_ctes(DOCS, types=ENTRY_TYPES)}
+@query("document_risk", f"""WITH RECURSIVE {S.base_ctes(DOCS)}
  SELECT type, n, percentage, {_weights()} * n AS risk, risk_percentage, risk_level FROM (
  SELECT type, count(*) AS n, round(count(*) / sum(count(*)) OVER () * 100, 1) AS percentage,
   round(sum(sum({_weights()})) OVER () / (sum(count(*)) OVER () * 10) * 100, 1) AS risk_percentage,
@@ -46,7 +46,7 @@ ENTRY_HITS = f"SELECT source AS batch_id, type FROM kept JOIN documents USING (d
  FROM kept GROUP BY type)""")
 def document_risk(spark, sf):
     """Per type of hit found in the documents: how many, what share, how risky."""
-    hits = detect_base(docs(spark, sf), types=ENTRY_TYPES).withColumn("batch_id", F.lit("all"))
+    hits = detect_base(docs(spark, sf)).withColumn("batch_id", F.lit("all"))
     # counted once; the shares and the overall risk need only the few counts
     per_type = hits.groupBy("batch_id", "type").agg(F.count("*").alias("n"))
     w = A.risk_weight(F.col("type"))
@@ -61,13 +61,13 @@ def document_risk(spark, sf):
         "risk_percentage", "risk_level")
 
 
-@query("file_results", f"""WITH RECURSIVE {S.base_ctes(DOCS, types=ENTRY_TYPES)}
+@query("file_results", f"""WITH RECURSIVE {S.base_ctes(DOCS)}
  SELECT d.doc_id, length(trim(d.text)) > 0 AS success, CASE WHEN length(trim(d.text)) = 0 THEN 'No text extracted' END AS error,
  length(d.text)::INT AS text_length, {_class_sql('d.text')} AS document_type, coalesce(k.n, 0) AS pii_count
  FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n FROM kept GROUP BY 1) k USING (doc_id)""")
 def file_results(spark, sf):
     docs = C.table(spark, sf, "documents")
-    return A.file_results(docs, detect_base(docs, types=ENTRY_TYPES))
+    return A.file_results(docs, detect_base(docs))
 
 
 GOOD = f"(SELECT * FROM ({C.FILES}) WHERE success)"

@@ -17,7 +17,6 @@ from .registry import query
 DOCS = "SELECT doc_id, text FROM documents"
 HIT_COLS = ["doc_id", "type", "value", "normalized", "confidence", "start", "end"]
 HIT_SQL = 'doc_id, type, value, normalized, confidence, "start", "end"'
-ENTRY_TYPES = ["EMAIL", "CARD_NUMBER", "IPV4", "API_KEY"]
 
 
 def docs(spark, sf):

@@ -67,12 +67,12 @@ def mask_stored_hits(spark, sf):
     return M.mask_text(texts, D.detect_base(texts, types=MASKED_TYPES)).select("doc_id", F.md5("text").alias("digest"))
 
 
-@query("mask_spans", f"""WITH RECURSIVE {S.base_ctes(C.CARDS, types=['PAN', 'IFSC', 'CUSTOMER_ID'])},
+@query("mask_spans", f"""WITH RECURSIVE {S.base_ctes(C.CARDS)},
  h AS (SELECT doc_id, list({{'s': "start", 'e': "end", 't': ''}} ORDER BY "start") AS hs FROM kept GROUP BY 1)
  SELECT c.doc_id, md5(list_reduce(list_prepend({{'s': 0, 'e': 0, 't': c.text}}, hs), lambda a, b:
  {{'s': 0, 'e': 0, 't': concat(substr(a.t, 1, b.s), repeat('█', b.e - b.s), substr(a.t, b.e + 1))}}).t) AS digest FROM ({C.CARDS}) c JOIN h USING (doc_id)""")
 def mask_spans(spark, sf):
-    found = D.add_base_hits(C.cards(spark, sf), types=["PAN", "IFSC", "CUSTOMER_ID"])
+    found = D.add_base_hits(C.cards(spark, sf))
     return found.select("doc_id", F.md5(M.mask_spans(F.col("text"), F.col("hits"))).alias("digest"))
 
 
@@ -128,13 +128,11 @@ def encrypt_values(spark, sf):
 
 
 def _sealed(spark, sf):
-    texts, hits = _batched(C.cards(spark, sf)), _batched(card_hits(spark, sf))
-    # the mail is stored in another spelling than in the text, so that sealing and
-    # opening it would not give the text back letter by letter
-    return K.hash_mask_text(texts, hits.filter("type <> 'EMAIL'").drop("batch_id"), PASSWORD)
+    texts, hits = _batched(C.cards(spark, sf)), card_hits(spark, sf)
+    return K.hash_mask_text(texts, hits, PASSWORD)
 
 
-@query("hash_mask_text", f"""SELECT doc_id, 3 AS tokens, false AS shows_phone FROM ({C.CARDS})""")
+@query("hash_mask_text", f"""SELECT doc_id, 4 AS tokens, false AS shows_phone FROM ({C.CARDS})""")
 def hash_mask_text(spark, sf):
     masked, side = _sealed(spark, sf)
     n = side.groupBy("doc_id").agg(F.count("*").cast("int").alias("tokens"))
@@ -142,10 +140,10 @@ def hash_mask_text(spark, sf):
     return masked.join(n, "doc_id").select("doc_id", "tokens", F.contains("text", phone).alias("shows_phone"))
 
 
-@query("unmask_text", f"SELECT doc_id, text, 3 AS decrypted FROM ({C.CARDS})")
+@query("unmask_text", f"SELECT doc_id, text, 4 AS decrypted, 0 AS failed FROM ({C.CARDS})")
 def unmask_text(spark, sf):
     masked, side = _sealed(spark, sf)
-    return K.unmask_text(masked, side, PASSWORD).select("doc_id", "text", "decrypted")
+    return K.unmask_text(masked, side, PASSWORD).select("doc_id", "text", "decrypted", "failed")
 
 
 @query("unmask_and_rescan", f"WITH RECURSIVE {S.context_ctes(C.CARDS)} SELECT type, count(*) AS hits FROM kept GROUP BY 1")
@@ -154,17 +152,18 @@ def unmask_and_rescan(spark, sf):
     return K.unmask_and_rescan(masked, side, PASSWORD).groupBy("type").agg(F.count("*").alias("hits"))
 
 
-@query("extract_tokens", r"SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9+/]{16,300}={0,2}')) AS token FROM documents")
+@query("extract_tokens", f"SELECT doc_id, 4 AS tokens, true AS all_sealed FROM ({C.CARDS})")
 def extract_tokens(spark, sf):
-    return K.extract_tokens(C.table(spark, sf, "documents"))
+    masked, side = _sealed(spark, sf)
+    known = side.select("doc_id", "token", F.lit(True).alias("known"))
+    return K.extract_tokens(masked).join(known, ["doc_id", "token"], "left").groupBy("doc_id").agg(
+        F.count("*").cast("int").alias("tokens"), F.bool_and(F.coalesce("known", F.lit(False))).alias("all_sealed"))
 
 
-@query("match_tokens", r"""WITH t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9+/]{16,300}={0,2}')) AS token FROM documents),
- s AS (SELECT DISTINCT token FROM t WHERE length(token) % 2 = 0)
- SELECT doc_id, count(s.token) AS found, count(*) - count(s.token) AS failed FROM t LEFT JOIN s USING (token) GROUP BY 1""")
+@query("match_tokens", f"SELECT doc_id, 3::BIGINT AS found, 1::BIGINT AS failed FROM ({C.CARDS})")
 def match_tokens(spark, sf):
-    tokens = K.extract_tokens(C.table(spark, sf, "documents"))
-    return K.match_tokens(tokens, tokens.filter(F.length("token") % 2 == 0))
+    masked, side = _sealed(spark, sf)
+    return K.match_tokens(K.extract_tokens(masked), side.filter("pii_type <> 'EMAIL'"))
 
 
 @query("lock_export", f"""SELECT batch_id, concat(type, '-0') AS part, concat('{{"type":"', type, '","values":["', string_agg(value, '","' ORDER BY file_ord, hit_no), '"]}}') AS payload,

@@ -11,7 +11,7 @@ from ..sources.scratch import scratch_path
 from ..streaming import streams as T
 from . import corpora as C
 from . import sqlgen as S
-from .detection_queries import DOCS, ENTRY_TYPES, HIT_COLS, HIT_SQL
+from .detection_queries import DOCS, HIT_COLS, HIT_SQL
 from .ledger_queries import DEBITS, HOUR, RATE
 from .registry import ORACLES, query
 
@@ -26,10 +26,10 @@ def _result(spark, df, name, mode="append"):
     return spark.read.schema(df.schema).parquet(f"{path}/data")
 
 
-@query("stream_detect", f"WITH RECURSIVE {S.base_ctes(DOCS, types=ENTRY_TYPES)} SELECT {HIT_SQL} FROM kept")
+@query("stream_detect", f"WITH RECURSIVE {S.base_ctes(DOCS)} SELECT {HIT_SQL} FROM kept")
 def stream_detect(spark, sf):
     docs = T.stream_parquet(spark, sf, "documents.parquet")
-    return _result(spark, T.stream_detect(docs, types=ENTRY_TYPES), "detect").select(*HIT_COLS)
+    return _result(spark, T.stream_detect(docs), "detect").select(*HIT_COLS)
 
 
 @query("stream_skip_seen", f"SELECT DISTINCT batch_id, filename FROM ({C.HITS})")

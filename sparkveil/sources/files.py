@@ -62,12 +62,14 @@ def admit_files(files: DataFrame, limit: int = UPLOAD_LIMIT, path="path", size="
 def safe_path(c: Column) -> Column:
     """False for empty, absolute or upward paths and for shell characters.
 
-    A ``..`` that a preceding folder cancels out (``a/../b``) is harmless, and
-    so is one that is part of a longer name only if nothing else is wrong.
+    A ``..`` that a preceding folder cancels out (``a/../b``) is harmless at
+    any depth; empty and ``.`` parts count for nothing.
     """
-    flat = F.regexp_replace(c, r"/(?:\./)+", "/")
-    for _ in range(8):  # folders cancelled by ".."
-        flat = F.regexp_replace(flat, r"(^|/)(?!\.\.?/)[^/]+/\.\.(/|$)", "$1")
+    parts = F.filter(F.split(c, "/", -1), lambda p: (p != "") & (p != "."))
+    climbs = lambda done, p: (p == "..") & (F.size(done) > 0) & (F.element_at(done, -1) != "..")
+    left = F.aggregate(parts, F.array().cast("array<string>"), lambda done, p: F.when(
+        climbs(done, p), F.slice(done, 1, F.size(done) - 1)).otherwise(F.concat(done, F.array(p))))
+    flat = F.array_join(left, "/")
     return F.coalesce(
         (c != "") & ~F.startswith(c, F.lit("/")) & ~F.contains(flat, F.lit("..")) & ~flat.rlike(BAD_PATH_CHARS),
         F.lit(False))
@@ -144,24 +146,23 @@ def route_detector(docs: DataFrame, name="filename") -> DataFrame:
 def detect_routed(routed: DataFrame, key=("doc_id",), text="text") -> DataFrame:
     """Hits of routed documents: label, context, or (images) base then context.
 
-    Each branch reads only its own documents; the text is scanned once, images
-    a second time only where the base scan found nothing.
+    One scan and one projection: each catalog gets the text of its own documents
+    and a null for the others, images a second look only where the base scan
+    found nothing.
     """
-    key = list(key)
-    cols = [*key, "detector_used", "pipeline_used", text]
-    image = F.col("pipeline_used") == "blocks + base_detector"
-    label = routed.select(cols).filter(F.startswith("detector_used", F.lit("LABEL")))
-    table = routed.select(cols).filter((F.col("detector_used") == "ADVANCED") & ~image)
-    based = add_base_hits(routed.select(cols).filter(image), text=text, out="hits")
-    none = F.size("hits") == 0
-    again = add_context_hits(based.withColumn(text, F.when(none, F.col(text))), text=text, out="__again")
-    pictures = again.withColumn("hits", F.when(F.size("hits") == 0, F.col("__again")).otherwise(F.col("hits")))
-    every = (
-        add_label_hits(label, text=text).drop(text)
-        .unionByName(add_context_hits(table, text=text).drop(text))
-        .unionByName(pictures.drop(text, "__again"))
-    )
-    return explode_hits(every, [*key, "detector_used", "pipeline_used"])
+    keys = [*key, "detector_used", "pipeline_used"]
+    image = F.coalesce(F.col("pipeline_used") == "blocks + base_detector", F.lit(False))
+    label = F.coalesce(F.startswith("detector_used", F.lit("LABEL")), F.lit(False)) & ~image
+    table = F.coalesce(F.col("detector_used") == "ADVANCED", F.lit(False)) & ~image
+    rows = routed.select(*keys, F.col(text).alias("__whole"))
+    rows = add_base_hits(rows.withColumn("__own", F.when(image, F.col("__whole"))), text="__own", out="__base")
+    # through a generator, so that the base hits are found once for the test and the result
+    rows = rows.select(*keys, "__whole", F.explode_outer(F.array(F.struct("__base"))).alias("__g")).select(*keys, "__whole", "__g.__base")
+    again = image & (F.size("__base") <= 0)
+    rows = add_context_hits(rows.withColumn("__own", F.when(table | again, F.col("__whole"))), text="__own", out="__context")
+    rows = add_label_hits(rows.withColumn("__own", F.when(label, F.col("__whole"))), text="__own", out="__label")
+    hits = F.when(label, F.col("__label")).when(table | again, F.col("__context")).when(image, F.col("__base"))
+    return explode_hits(rows.withColumn("hits", hits), keys)
 
 
 def assemble_blocks(blocks: DataFrame, key="doc_id") -> DataFrame:
