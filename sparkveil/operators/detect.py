@@ -264,15 +264,14 @@ def _in_text_order(hits: Column) -> Column:
     return F.transform(placed, lambda r: r["hit"])
 
 
-def balanced(df: DataFrame) -> DataFrame:
-    """Documents spread over the cores where the scan has too few partitions.
+def balanced(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """Documents dealt out anew into ``parts`` partitions; without it, as they are.
 
-    Detection is bound by the processor, so a handful of large input splits
-    would leave most cores idle.  A scan with enough splits is left alone: at
-    scale the text is never shuffled.
+    Detection is bound by the processor, so a scan of a few large splits leaves
+    cores idle.  That is for the caller to say: at scale a scan has splits
+    enough, and the text should not be shuffled.
     """
-    wanted = 2 * df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+    return df.repartition(parts) if parts else df
 
 
 ADDERS = {

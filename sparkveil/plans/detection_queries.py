@@ -20,7 +20,8 @@ HIT_SQL = 'doc_id, type, value, normalized, confidence, "start", "end"'
 
 
 def docs(spark, sf):
-    return D.balanced(C.table(spark, sf, "documents").select("doc_id", "text"))
+    # the given folders hold the table as one file, which is one or two splits
+    return D.balanced(C.table(spark, sf, "documents").select("doc_id", "text"), 2 * spark.sparkContext.defaultParallelism)
 
 
 @query("detect_base", f"WITH RECURSIVE {S.base_ctes(DOCS)} SELECT {HIT_SQL} FROM kept")

@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..operators.detect import explode_hits  # noqa: F401  (documented entry point)
+from ..operators import process as P
 from ..sources import files as R
+from ..sources import sinks as W
+from ..sources.scratch import scratch_path
 from . import corpora as C
+from . import sqlgen as S
+from .detection_queries import DOCS
 from .registry import query
 
 
@@ -121,3 +127,47 @@ SIZE = "(p_partkey * p_partkey * p_partkey * p_size)"
 def human_size(spark, sf):
     k = F.col("p_partkey")
     return C.table(spark, sf, "part").select(k.alias("id"), R.human_size(k * k * k * F.col("p_size")).alias("size"))
+
+
+def _named(spark, sf):
+    return C.table(spark, sf, "documents").select(
+        "doc_id", F.col("source").alias("batch_id"), C.cat("doc_", F.col("doc_id"), ".txt").alias("filename"), "text")
+
+
+@query("process_batch", f"""WITH {S.label_ctes(DOCS)}, n AS (SELECT doc_id, count(*) AS n FROM kept GROUP BY 1),
+ t AS (SELECT source, count(DISTINCT type) AS types FROM kept JOIN documents USING (doc_id) GROUP BY 1)
+ SELECT d.source AS batch_id, count(*) AS files, count(*) AS pages_processed, coalesce(sum(n.n), 0)::BIGINT AS piis, coalesce(any_value(t.types), 0) AS pii_types,
+ 2 * count(*) AS debit FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (source) WHERE length(trim(d.text)) > 0 GROUP BY 1""")
+def process_batch(spark, sf):
+    docs = _named(spark, sf)
+    none = docs.select("batch_id", "filename").limit(0)
+    _, totals, debits = P.process_batch(docs, none, scratch_path(spark, f"hits-{uuid.uuid4().hex}"))
+    return totals.join(debits, "batch_id").select("batch_id", "files", "pages_processed", "piis", "pii_types", "debit")
+
+
+def _written(spark, write, rows, reader="parquet"):
+    path = scratch_path(spark, f"sink-{uuid.uuid4().hex}")
+    write(rows, path)
+    return spark.read.format(reader).schema(rows.schema).load(path)
+
+
+SINK_SQL = "SELECT source AS batch_id, count(*) AS docs, sum(length(text))::BIGINT AS chars FROM documents GROUP BY 1"
+
+
+@query("write_masked", SINK_SQL)
+def write_masked(spark, sf):
+    return _written(spark, W.write_masked, _named(spark, sf)).groupBy("batch_id").agg(
+        F.count("*").alias("docs"), F.sum(F.length("text")).alias("chars"))
+
+
+@query("write_masked_json", SINK_SQL)
+def write_masked_json(spark, sf):
+    rows = _named(spark, sf).select("batch_id", "doc_id", "text")
+    return _written(spark, W.write_masked_json, rows, "json").groupBy("batch_id").agg(
+        F.count("*").alias("docs"), F.sum(F.length("text")).alias("chars"))
+
+
+@query("write_detections", f"SELECT batch_id, type, count(*) AS hits FROM ({C.HITS}) GROUP BY 1, 2")
+def write_detections(spark, sf):
+    rows = C.hits(spark, sf).select("batch_id", "filename", "type", "value")
+    return _written(spark, W.write_detections, rows).groupBy("batch_id", "type").agg(F.count("*").alias("hits"))

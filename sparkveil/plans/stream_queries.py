@@ -90,8 +90,10 @@ def stream_ledger(spark, sf):
     return _result(spark, T.stream_ledger(debits), "ledger").select("event_id", "user_id", "amount", "admitted", "balance_after")
 
 
-@query("stream_progress", "SELECT count(*) AS completed FROM documents")
+@query("stream_progress", """SELECT event_type, count(*) AS total, count(*) FILTER (WHERE value IS NOT NULL AND value >= 10) AS completed,
+ CASE WHEN count(*) FILTER (WHERE value >= 10) > 0 THEN round((epoch(max(date_trunc('second', ts)) FILTER (WHERE value >= 10))::BIGINT - epoch(min(date_trunc('second', ts)) FILTER (WHERE value >= 10))::BIGINT)
+  * (count(*) - count(*) FILTER (WHERE value >= 10)) / count(*) FILTER (WHERE value >= 10), 1) END AS seconds_left FROM events GROUP BY 1""")
 def stream_progress(spark, sf):
-    docs = T.stream_parquet(spark, sf, "documents.parquet").select("doc_id", F.length("text").alias("n"))
-    done = T.progress(T.run_available(docs, _path(spark, "progress")))
-    return spark.createDataFrame([(done["completed"],)], "completed bigint")
+    events = T.stream_parquet(spark, sf, "events.parquet").select("event_type", F.col("ts").cast("timestamp").alias("ts"), "value")
+    done = _result(spark, events.filter("value >= 10"), "progress")
+    return T.progress(done, C.table(spark, sf, "events"), ["event_type"], "ts").drop("first", "last")

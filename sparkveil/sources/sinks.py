@@ -1,4 +1,7 @@
-"""Writing results, laid out by batch."""
+"""Writing results, laid out by batch.
+
+Rows are first dealt out by batch and a hash of ``doc_id``, so that a task holds few batches and a batch has a fixed
+number of files, however many tasks or documents there are; a large batch is spread over ``files`` tasks."""
 
 from __future__ import annotations
 
@@ -6,26 +9,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+FILES = 16
+
+
+def by_batch(rows: DataFrame, files: int = FILES) -> DataFrame:
+    """Rows dealt out by batch and, where they name a document, by its hash."""
+    spread = [F.pmod(F.xxhash64("doc_id"), F.lit(files))] if "doc_id" in rows.columns else []
+    return rows.repartition("batch_id", *spread)
+
+
 def write_detections(hits: DataFrame, path: str, mode="append") -> None:
     """Stored hits, partitioned by batch for pruned reads."""
-    hits.write.mode(mode).partitionBy("batch_id").parquet(path)
+    by_batch(hits).write.mode(mode).partitionBy("batch_id").parquet(path)
 
 
 def write_masked(docs: DataFrame, path: str, mode="append") -> None:
     """Masked documents as rows, partitioned by batch."""
-    docs.write.mode(mode).partitionBy("batch_id").parquet(path)
+    by_batch(docs).write.mode(mode).partitionBy("batch_id").parquet(path)
 
 
 def write_masked_lines(docs: DataFrame, path: str, mode="append") -> None:
-    """Masked documents as text, one folder per document."""
-    docs.select("batch_id", "doc_id", F.col("text").alias("value")).write.mode(mode).partitionBy(
-        "batch_id", "doc_id").text(path)
+    """Lines of the masked documents as plain text, document after document, in a folder per batch."""
+    rows = by_batch(docs.select("batch_id", "doc_id", F.col("text").alias("value"))).sortWithinPartitions("batch_id", "doc_id")
+    rows.drop("doc_id").write.mode(mode).partitionBy("batch_id").text(path)
+
+
+def write_masked_json(docs: DataFrame, path: str, mode="append") -> None:
+    """Masked documents as JSON lines of doc_id and text, in a folder per batch."""
+    by_batch(docs.select("batch_id", "doc_id", "text")).write.mode(mode).partitionBy("batch_id").json(path)
 
 
 def write_sidecar(sidecar: DataFrame, path: str, mode="append") -> None:
-    sidecar.write.mode(mode).partitionBy("batch_id").parquet(path)
+    by_batch(sidecar).write.mode(mode).partitionBy("batch_id").parquet(path)
 
 
 def write_export(payloads: DataFrame, path: str, mode="append") -> None:
     """One JSON line per payload, partitioned by batch."""
-    payloads.write.mode(mode).partitionBy("batch_id").json(path)
+    by_batch(payloads).write.mode(mode).partitionBy("batch_id").json(path)

@@ -121,9 +121,13 @@ def stream_ledger(events: DataFrame, user="user_id", ts="ts", order="event_id",
         decide, out, "balance bigint", "append", GroupStateTimeout.NoTimeout)
 
 
-def progress(query) -> dict:
-    """Rows done and mean rate of a running or finished query."""
-    seen = [p for p in query.recentProgress]
-    rows = sum(p["numInputRows"] for p in seen)
-    millis = sum(p["batchDuration"] for p in seen)
-    return {"completed": rows, "batches": len(seen), "rows_per_second": rows * 1000 / millis if millis else 0.0}
+def progress(done: DataFrame, given: DataFrame, by: list[str], at: str) -> DataFrame:
+    """Per group of ``by``: rows completed, of how many, first and last time, and seconds left at the rate so far.
+
+    Read from the sink's own table and the source, so nothing is forgotten however many micro-batches there were.
+    """
+    total = given.groupBy(*by).agg(F.count("*").alias("total"))
+    sofar = done.groupBy(*by).agg(F.count("*").alias("completed"), F.min(at).alias("first"), F.max(at).alias("last"))
+    spent = F.unix_timestamp("last") - F.unix_timestamp("first")
+    return total.join(sofar, by, "left").fillna(0, ["completed"]).withColumn(
+        "seconds_left", F.when(F.col("completed") > 0, F.round(spent * (F.col("total") - F.col("completed")) / F.col("completed"), 1)))
