@@ -19,7 +19,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     else:
         out = both.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             least.select("u", F.col("m").alias("v")))
-    return out.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    return out.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -34,6 +34,6 @@ def components(edges: DataFrame) -> DataFrame:
         if new == mark or not new[0]:
             break
         mark = new
-        now = stored(_star(_star(now, True), False), "edges")
+        now = stored(_star(_star(now, True), False).distinct(), "edges")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -22,6 +23,10 @@ from .shared import map_texts, stored
 BAND, BANDS = 6, 48
 BASE = 1.1
 _TOP = 8.0
+#: Rounds in which members of a bucket meet its best linked member before the rest meet one another.
+STARS = 1
+#: A target with so few members is compared pair by pair; a larger one in blocks of so many rows.
+SMALL, BLOCK = 16, 128
 #: Loss of log likelihood at the wanted similarity beyond which a candidate is left out before the exact check.
 UNLIKELY = 18.0
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -147,14 +152,89 @@ def _pairs(rows: DataFrame, a: str, b: str) -> DataFrame:
     return rows.select(F.greatest(a, b).alias("x"), F.least(a, b).alias("y")).distinct()
 
 
+def _inside(shared: DataFrame, joined: DataFrame, links: DataFrame) -> DataFrame:
+    """Members of the buckets that hold several components, with their component and number of links."""
+    degree = links.select(F.explode(F.array("x", "y")).alias("node")).groupBy("node").agg(F.count("*").alias("d"))
+    rows = shared.select("key", "node", "n").join(joined.join(degree, "node"), "node", "left").withColumns(
+        {"component": F.coalesce("component", "node"), "d": F.coalesce("d", F.lit(0))})
+    split = rows.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("key")
+    return stored(rows.join(split, "key", "left_semi"), "inside")
+
+
+def _central(inside: DataFrame) -> DataFrame:
+    """Each member of a bucket against the bucket's member with most links, where their components differ."""
+    hub = inside.groupBy("key").agg(F.max(F.struct("d", F.col("node").alias("hub"), F.col("component").alias("c"))).alias("m"))
+    hub = hub.filter("m.d > 0").select("key", "m.hub", "m.c")
+    return _pairs(inside.join(hub, "key").filter("component <> c"), "node", "hub")
+
+
+def _crossing(inside: DataFrame, final: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What is left to compare, as (target, node) rows of queries and of members. In each bucket, those outside its
+    largest component are queries to the whole of that component, and to one another."""
+    sizes = inside.groupBy("key", "component").agg(F.count("*").alias("c"))
+    main = sizes.groupBy("key").agg(F.max(F.struct("c", "component")).alias("m"), F.count("*").alias("parts")).select(
+        "key", F.col("m.component").alias("main"), "parts")
+    outer = inside.join(main, "key").filter("component <> main")
+    named = F.concat(F.lit("c"), F.col("main").cast("string"))
+    to_main = outer.select(named.alias("target"), "main", "node").distinct()
+    whole = final.select("node", "component").unionByName(inside.select("node", "component")).distinct()
+    of_main = to_main.select("target", "main").distinct().join(whole, F.col("main") == F.col("component")).select("target", "node")
+    among = outer.filter("parts > 2").select(F.concat(F.lit("b"), F.col("key").cast("string")).alias("target"), "node")
+    return to_main.select("target", "node").unionByName(among), of_main.unionByName(among)
+
+
+def _compared(queries: DataFrame, members: DataFrame, reps: DataFrame, texts: DataFrame, k: int, wanted: float) -> DataFrame:
+    """Links between each target's queries and members. Small targets become pairs; large ones are compared block by
+    block inside tasks, so that nothing but links comes out and no task holds more than two blocks."""
+    a = queries.groupBy("target").agg(F.count("*").alias("q"))
+    b = members.groupBy("target").agg(F.count("*").alias("m"))
+    sizes = stored(a.join(b, "target"), "targets")
+    few = F.col("m") <= SMALL
+    small, large = sizes.filter(few).select("target"), sizes.filter(~few)
+
+    asked, held = (d.join(small, "target", "left_semi") for d in (queries, members))
+    pairs = asked.withColumnRenamed("node", "a").join(held.withColumnRenamed("node", "b"), "target").filter("a <> b")
+    links = _linked(_likely(_pairs(pairs, "a", "b"), reps, wanted), texts, k, wanted)
+
+    cuts = large.select("target", F.ceil(F.col("q") / BLOCK).cast("int").alias("qs"), F.ceil(F.col("m") / BLOCK).cast("int").alias("ms"))
+    spot = F.xxhash64("node")
+    asked = queries.join(cuts, "target").select(
+        "target", "node", F.pmod(spot, "qs").alias("qb"), F.explode(F.sequence(F.lit(0), F.col("ms") - 1)).alias("mb"), F.lit(True).alias("asks"))
+    held = members.join(cuts, "target").select(
+        "target", "node", F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("qb"), F.pmod(spot, "ms").alias("mb"), F.lit(False).alias("asks"))
+    rows = asked.withColumn("qb", F.col("qb").cast("int")).unionByName(held.withColumn("mb", F.col("mb").cast("int")))
+    rows = rows.join(texts.join(reps, "node"), "node")
+    tops = round(100 * wanted)
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        q, m = group[group.asks], group[~group.asks]
+        sets = [[shingles(t, k) for t in side.text] for side in (q, m)]
+        regs = [np.frombuffer(b"".join(side.registers), np.uint8).reshape(len(side), BAND * BANDS) for side in (q, m)]
+        ids = [side.node.tolist() for side in (q, m)]
+        found = []
+        for i in range(len(q)):
+            near = similar_enough(np.broadcast_to(regs[0][i], regs[1].shape), regs[1], np.full(len(m), float(q.n.iloc[i])), m.n.to_numpy(float), wanted)
+            for j in np.flatnonzero(near):
+                if ids[0][i] == ids[1][j]:
+                    continue
+                one, two = sets[0][i], sets[1][j]
+                both = len(np.intersect1d(one, two, assume_unique=True))
+                if 100 * both >= tops * (len(one) + len(two) - both):
+                    found.append((max(ids[0][i], ids[1][j]), min(ids[0][i], ids[1][j])))
+        return pd.DataFrame(found, columns=["x", "y"])
+
+    return links.unionByName(rows.groupBy("target", "qb", "mb").applyInPandas(run, links.schema))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id, kept.
 
     Documents with equal shingle sets are one class from the start. Bands of registers that several classes share make
-    buckets. First every class is compared with its bucket's least class; then, in buckets that still hold several
-    components, those outside the bucket's largest component are compared with the members of other components. Pairs
-    that already hang together are never formed, so a group of near copies costs its size, not its square, and no link
-    between components is left out. Candidates pass the joint likelihood of their registers and are confirmed on full
+    buckets. First every class is compared with its bucket's least class, then with its bucket's best linked class while
+    that finds links; then, in buckets that still hold several components, those outside the bucket's largest component
+    are compared with that component and with one another, large ones block by block inside tasks. Pairs that already
+    hang together are not compared again, so a group of near copies costs about its size, and no link between
+    components is left out. Candidates pass the joint likelihood of their registers and are confirmed on full
     sets; ``similarity`` is a whole percentage.
 
     Documents without words or text link with nothing and are kept. A row with a null id is kept and has a null
@@ -174,29 +254,25 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col
     hubs = bands.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("top")).filter("hub <> top").drop("top")
     shared = stored(bands.join(hubs, "key"), "bands")
 
-    first = stored(_likely(_pairs(shared.filter("node <> hub"), "node", "hub"), reps, wanted), "likely")
     met = shared.select("node").distinct()
     texts = stored(
         docs.select(F.col(id_col).alias("node"), F.col(text_col).alias("text")).join(met, "node", "left_semi"), "texts")
-    linked = stored(_linked(first, texts, k, wanted), "links")
-    joined = components(linked.select(F.col("x").alias("u"), F.col("y").alias("v")))
 
-    inside = stored(shared.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node")), "inside")
-    sizes = inside.groupBy("key", "component").agg(F.count("*").alias("c"))
-    split = sizes.groupBy("key").agg(F.max(F.struct("c", "component")).alias("m"), F.count("*").alias("parts")).filter(
-        "parts > 1").select("key", F.col("m.component").alias("main"))
-    rest = inside.join(split, "key").filter("node <> hub")
-    outer = rest.filter("component <> main").select("key", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("component").alias("c_a"))
-    other = rest.select("key", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("c_b"), "main")
-    crossing = outer.join(other, "key").filter(
-        (F.col("c_a") != F.col("c_b")) & ((F.col("c_b") == F.col("main")) | (F.col("a") < F.col("b")))
-        & (F.least("n_a", "n_b") >= (wanted - 1e-9) * F.greatest("n_a", "n_b")))
-    second = stored(_likely(_pairs(crossing, "a", "b"), reps, wanted), "likely")
-    more = stored(_linked(second, texts, k, wanted), "links")
-    if more.isEmpty():
-        final = joined
-    else:
-        final = components(linked.unionByName(more).select(F.col("x").alias("u"), F.col("y").alias("v")))
+    pairs = _pairs(shared.filter("node <> hub"), "node", "hub")
+    links = stored(_linked(_likely(pairs, reps, wanted), texts, k, wanted), "links")
+    final = components(links.select(F.col("x").alias("u"), F.col("y").alias("v")))
+    for _ in range(STARS):
+        pairs = _central(_inside(shared, final, links))
+        new = stored(_linked(_likely(pairs, reps, wanted), texts, k, wanted), "links")
+        if new.isEmpty():
+            break
+        links = links.unionByName(new)
+        final = components(links.select(F.col("x").alias("u"), F.col("y").alias("v")))
+
+    queries, members_of = (stored(d, "crossing") for d in _crossing(_inside(shared, final, links), final))
+    new = stored(_compared(queries, members_of, reps, texts, k, wanted), "links")
+    if not new.isEmpty():
+        final = components(links.unionByName(new).select(F.col("x").alias("u"), F.col("y").alias("v")))
     found = members.select("doc_id", "n_shingles", "node").join(final, "node", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
     return found.withColumn("kept", F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id")))
