@@ -4,9 +4,10 @@ Lee et al., "Deduplicating Training Data Makes Language Models Better" (2022), a
 Before the sort, as in prefix-doubling string sorters, hashes find the suffixes that cannot have an equal elsewhere:
 every window of ``length`` bytes has an anchor, the least of the hashed 8-byte grams at its first ``REACH`` places, and
 equal windows have equal anchors. Windows with one anchor are neighbours, a stretch; an anchor whose context is found
-once in the corpus needs no sorting. Stretches that are equal as a whole are sorted once, with their number. What is
-left are suffixes of stretches that agree in part: tasks sort them, front-code the runs, deal them out by leading bytes,
-and loser trees merge the runs.
+once in the corpus needs no sorting. Stretches that are equal as a whole count once, with their number, and those that agree in part are cut into blocks
+of a few windows, for which the same holds. What is left is one suffix for each block: tasks sort them, front-code the
+runs and deal them out by leading bytes, and loser trees merge the runs. Blocks whose common prefix spans all that
+their windows share stand together in that order and differ at the edges alone, where their windows are compared.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import ArrayType, StructField, StructType
 
 from .shared import stored, text_hash, to_arrow_schema
 from .suffix_merge import decoded, front_coded, merge
@@ -114,114 +115,125 @@ def occurrences(docs: DataFrame, length: int, reach: int) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _runs(parts: DataFrame, length: int, deals: int) -> DataFrame:
-    """Sorted, front-coded runs of the suffixes of each task's stretches, one for each of ``deals`` shares.
-
-    A suffix that occurs twice in the task, or stands for several places, is settled here and travels once, without an
-    owner; its owners come out in rows of share -1."""
+def _blocks(parts: DataFrame, length: int, reach: int, block: int) -> DataFrame:
+    """(c, f, id, t, first, last, lead, n): the wanted stretches cut into blocks of at most ``block`` windows, at fixed
+    distances from the anchor. All windows of a block hold the bytes from ``lead`` on that ``c`` is the hash of."""
     kind = parts.schema["id"]
-    at = pa.list_(pa.int64())
+    fields = StructType.fromDDL("t long, first long, last long, lead long, n long")
+    schema = StructType([*StructType.fromDDL("c long, f long").fields, kind, *fields])
 
     def run(batches):
-        from pyspark import TaskContext
+        digest, size = xxhash.xxh3_64_intdigest, length - block + 1
+        for batch in batches:
+            rows = []
+            for i, t, text, wanted in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                data = _bytes(text)
+                anchors = {p: a for a, p, _ in stretches(data, length, reach).tolist()}
+                for w in wanted:
+                    a, p = anchors[w["first"]], w["first"]
+                    while p <= w["last"]:
+                        k = (a - p) // block
+                        lead, last = a - k * block, min(w["last"], a - k * block)
+                        rows.append((_signed(digest(data[lead: lead + size], seed=k)), _signed(digest(data[p: last + length], seed=a - p)), i, t, p, last, lead, w["n"]))
+                        p = last + 1
+            cols = list(zip(*rows)) if rows else [[]] * 8
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, to_arrow_schema(schema))], names=schema.names)
+
+    return parts.select("id", "t", "text", "wanted").mapInArrow(run, schema)
+
+
+def _runs(parts: DataFrame, length: int, deals: int, block: int, most: int) -> DataFrame:
+    """Sorted, front-coded runs of one suffix for each wanted block, from its ``lead`` on, for each of ``deals`` shares;
+    with the bytes to the left of it that the block's other windows have, and whose windows they are."""
+    kind = parts.schema["id"]
+    size = length - block + 1
+    schema = StructType([*StructType.fromDDL(
+        "share int, lengths array<int>, rests array<binary>, lefts array<binary>, firsts array<long>, lasts array<long>, leads array<long>, ns array<long>, ts array<long>").fields,
+        StructField("ids", ArrayType(kind.dataType))])
 
-        number = TaskContext.get().partitionId()
-        id_type = to_arrow_schema(StructType([kind])).field(0).type
-        held: list[list[tuple[bytes, int, int, int]]] = [[] for _ in range(deals)]
-        ids, ts, size = [], [], 0
+    def run(batches):
+        kinds = to_arrow_schema(schema)
+        held: list[list[tuple]] = [[] for _ in range(deals)]
+        total = 0
 
         def flush():
-            rows = []
-            for share, suffixes in enumerate(held):
-                suffixes.sort()
-                ordered, owners, places, settled = [], [], [], {}
-                i = 0
-                while i < len(suffixes):
-                    j = i
-                    while j < len(suffixes) and suffixes[j][0] == suffixes[i][0]:
-                        j += 1
-                    ordered.append(suffixes[i][0])
-                    if j - i == 1 and suffixes[i][1] >= 0:
-                        owners.append(suffixes[i][1])
-                        places.append(suffixes[i][2])
-                    else:
-                        owners.append(-1)
-                        places.append(-1)
-                        for _, d, p, _ in suffixes[i:j]:
-                            if d >= 0:
-                                settled.setdefault(d, []).append(p)
-                    i = j
-                if ordered:
-                    lengths, rests = front_coded(ordered)
-                    used = sorted({o for o in owners if o >= 0})
-                    slot = {d: n for n, d in enumerate(used)}
-                    rows.append((share, number, lengths, rests, [slot.get(o, -1) for o in owners], places, [ids[d] for d in used], [ts[d] for d in used]))
-                for d, found in settled.items():
-                    rows.append((-1, number, [], [], [], sorted(found), [ids[d]], [ts[d]]))
-                suffixes.clear()
-            ids.clear()
-            ts.clear()
-            for k in range(0, len(rows), 64):
-                cols = list(zip(*rows[k: k + 64]))
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2], at), pa.array(cols[3], pa.list_(pa.binary())),
-                    pa.array(cols[4], at), pa.array(cols[5], at), pa.array(cols[6], pa.list_(id_type)), pa.array(cols[7], at)], names)
-
-        names = ["share", "run", "lengths", "rests", "owners", "places", "ids", "ts"]
+            for share, rows in enumerate(held):
+                if rows:
+                    rows.sort(key=lambda r: r[0])
+                    suffixes, lefts, firsts, lasts, leads, ns, ts, ids = zip(*rows)
+                    lengths, rests = front_coded(suffixes)
+                    one = [[share], [lengths], [rests], *([list(c)] for c in (lefts, firsts, lasts, leads, ns, ts, ids))]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(one, kinds)], names=schema.names)
+                    rows.clear()
+
         for batch in batches:
-            data = batch.to_pydict()
-            for i, t, text, wanted in zip(data["id"], data["t"], data["text"], data["wanted"]):
-                raw = _bytes(text)
-                ids.append(i)
-                ts.append(t)
+            for i, t, text, wanted in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                data = _bytes(text)
                 for w in wanted:
-                    for p in range(w["first"], w["last"] + 1):
-                        s = raw[p: p + length]
-                        held[xxhash.xxh3_64_intdigest(s[:64]) % deals].append((s, len(ids) - 1 if w["n"] == 1 else -1, p, 0))
-                        size += 1
-                if size >= RUN_SUFFIXES:
+                    suffix = data[w["lead"]: w["last"] + length]
+                    share = xxhash.xxh3_64_intdigest(suffix[:size]) % deals
+                    held[share].append((suffix, data[w["first"]: w["lead"]], w["first"], w["last"], w["lead"], w["n"], t, i))
+                    total += 1
+                if total >= most:
                     yield from flush()
-                    size = 0
+                    total = 0
         yield from flush()
 
-    id_type = kind.dataType.simpleString()
-    return parts.mapInArrow(run, f"share int, run int, lengths array<long>, rests array<binary>, owners array<long>, places array<long>, ids array<{id_type}>, ts array<long>")
+    return parts.select("id", "t", "text", "wanted").mapInArrow(run, schema)
+
 
+#: Windows in a block at most, and suffixes that a task sorts at once; a suffix takes some 500 bytes.
+BLOCK, RUN_SUFFIXES = 16, 100_000
 
-#: Suffixes that a task sorts at once; bounds its memory at about 500 bytes each.
-RUN_SUFFIXES = 200_000
 
+def _equal_windows(group: list[tuple[bytes, bytes, int, int, int, int]], size: int, block: int) -> dict[int, list[int]]:
+    """Starts of windows that stand elsewhere too, by member; members agree on ``size`` bytes from their lead on, so
+    their windows differ at the edges alone. Members are (suffix, left, first, last, lead, n)."""
+    by: dict[tuple[int, bytes, bytes], list[int]] = {}
+    for k, (suffix, left, first, last, lead, _) in enumerate(group):
+        right = suffix[size:]
+        for p in range(first, last + 1):
+            j = lead - p
+            by.setdefault((j, left[len(left) - j:], right[: block - 1 - j]), []).append(k)
+    found: dict[int, list[int]] = {}
+    for (j, _, _), members in by.items():
+        if len(members) > 1 or group[members[0]][5] > 1:
+            for k in members:
+                if group[k][5] == 1:
+                    found.setdefault(k, []).append(group[k][4] - j)
+    return found
 
-def sorted_repeats(parts: DataFrame, length: int) -> DataFrame:
-    """(id, t, places): starts of strings that stand elsewhere too, among the stretches that stand for one place.
 
-    ``parts`` has id, t, text and wanted: (first, last, n) of the stretches to sort and how many places each stands for."""
-    spark = parts.sparkSession
-    deals = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    runs = stored(_runs(parts, length, deals), "runs")
+def sorted_repeats(parts: DataFrame, length: int, block: int) -> DataFrame:
+    """(id, t, places): starts of windows that stand elsewhere too, among the blocks that stand for one place.
+
+    ``parts`` has id, t, text and wanted: (first, last, lead, n) of the blocks to sort and how many places each stands for."""
+    deals = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = stored(_runs(parts, length, deals, block, RUN_SUFFIXES), "runs")
     kind = runs.schema["ids"].dataType.elementType.simpleString()
+    size = length - block + 1
+
+    def run(batch: pd.DataFrame) -> pd.DataFrame:
+        rows = list(batch.itertuples())
+        at, out, group, owners = [-1] * len(rows), [], [], []
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        rows = [(list(r.owners), list(r.places), list(r.ids), list(r.ts)) for r in group.itertuples()]
-        streams = [decoded(r.lengths, r.rests) for r in group.itertuples()]
-        at = [-1] * len(rows)
-        found: dict[tuple[int, int], list[int]] = {}
-        last = None
-        for known, _, r in merge(streams):
+        def close():
+            for k, places in _equal_windows(group, size, block).items() if len(group) > 1 else ():
+                out.append((*owners[k], sorted(places)))
+            group.clear()
+            owners.clear()
+
+        for known, suffix, r in merge([decoded(x.lengths, x.rests) for x in rows]):
             at[r] += 1
-            now = (r, at[r])
-            if known >= length:
-                for which, k in (last, now):
-                    owners, places, _, _ = rows[which]
-                    if owners[k] >= 0:
-                        found.setdefault((which, owners[k]), []).append(places[k])
-            last = now
-        out = [(rows[r][2][d], rows[r][3][d], sorted(set(p))) for (r, d), p in found.items()]
+            i, x = at[r], rows[r]
+            if known < size:
+                close()
+            group.append((suffix, x.lefts[i], x.firsts[i], x.lasts[i], x.leads[i], x.ns[i]))
+            owners.append((x.ids[i], x.ts[i]))
+        close()
         return pd.DataFrame(out, columns=["id", "t", "places"])
 
-    merged = runs.filter("share >= 0").groupBy("share").applyInPandas(run, f"id {kind}, t long, places array<long>")
-    settled = runs.filter("share < 0").select(F.col("ids")[0].alias("id"), F.col("ts")[0].alias("t"), "places")
-    return merged.unionByName(settled)
+    return runs.groupBy("share").applyInPandas(run, f"id {kind}, t long, places array<long>")
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, reach: int = REACH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -236,10 +248,22 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, reach: int = REACH, id
 
     apart = met.join(kinds, "c", "left_semi")
     chosen = apart.groupBy("c", "f").agg(F.min(F.struct("id", "t", "first", "last")).alias("r"), F.count("*").alias("n"))
-    wanted = chosen.groupBy("r.id", "r.t").agg(F.collect_list(F.struct("r.first", "r.last", "n")).alias("wanted"))
     sides = given.select(F.col("id").alias("i"), F.col("t").alias("h"), "text")
-    parts = wanted.join(sides, F.col("id").eqNullSafe(F.col("i")) & (F.col("t") == F.col("h"))).select("id", "t", "text", "wanted")
-    places = sorted_repeats(parts, length).select("id", "t", F.explode("places").alias("first")).withColumn("last", F.col("first"))
+
+    def with_text(chosen: DataFrame, texts: DataFrame, *more: str) -> DataFrame:
+        what = F.struct("r.first", "r.last", *more, "n")
+        wanted = chosen.groupBy("r.id", "r.t").agg(F.collect_list(what).alias("wanted"))
+        return wanted.join(texts, F.col("id").eqNullSafe(F.col("i")) & (F.col("t") == F.col("h"))).select("id", "t", "text", "wanted")
+
+    parts = stored(with_text(chosen, sides), "parts")
+    blocks = stored(_blocks(parts, length, reach, BLOCK), "blocks")
+    alike = blocks.groupBy("c", "f").agg(F.sum("n").alias("n"))
+    settled = blocks.filter("n = 1").join(alike.filter("n > 1").select("c", "f"), ["c", "f"], "left_semi").select("id", "t", "first", "last")
+    kinds = alike.groupBy("c").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("c")
+    chosen = blocks.join(kinds, "c", "left_semi").groupBy("c", "f").agg(F.min(F.struct("id", "t", "first", "last", "lead")).alias("r"), F.sum("n").alias("n"))
+    texts = parts.select(F.col("id").alias("i"), F.col("t").alias("h"), "text")
+    places = sorted_repeats(with_text(chosen, texts, "r.lead"), length, BLOCK).select("id", "t", F.explode("places").alias("first")).withColumn("last", F.col("first"))
+    several = several.unionByName(settled)
     return several.unionByName(places.select("id", "t", "first", "last")).groupBy("id", "t").agg(F.collect_list(F.struct("first", "last")).alias("starts"))
 
 

@@ -61,9 +61,10 @@ def texts_with_shared_parts(seed):
     return texts + texts[:3] + ["ab" * 60, "a" * 90, "a" * 31, passages[0] * 3]
 
 
-@pytest.mark.parametrize("seed,several", [(1, 200_000), (2, 50), (3, 7)])
-def test_shared_parts(spark, monkeypatch, seed, several):
+@pytest.mark.parametrize("seed,several,block", [(1, 200_000, 16), (2, 50, 5), (3, 7, 1), (4, 3, 3)])
+def test_shared_parts(spark, monkeypatch, seed, several, block):
     monkeypatch.setattr(suffixes, "RUN_SUFFIXES", several)
+    monkeypatch.setattr(suffixes, "BLOCK", block)
     texts = texts_with_shared_parts(seed)
     frame = docs(spark, texts, more=False).repartition(5)
     rows = {r.doc_id: r for r in drop_repeats(frame, 30, 12).collect()}
