@@ -301,6 +301,25 @@ def export_payload(exported: DataFrame, order=("file_ord", "hit_no"), part_value
         F.to_json(F.struct("type", "values")).alias("payload"))
 
 
+def export_values(exported: DataFrame, order=("file_ord", "hit_no")) -> DataFrame:
+    """One JSON row (batch_id, part, payload) for each value, the same at every size.
+
+    ``part`` names the type and the place at which the value was first seen, which is also the order of the values.
+    """
+    place = [F.lpad(F.col(c).cast("string"), 20, "0") for c in order]
+    return exported.select("batch_id", F.concat_ws("-", "type", *place).alias("part"),
+                           F.to_json(F.struct("type", "value", "filename")).alias("payload"))
+
+
+def export_document(exported: DataFrame, batches: DataFrame) -> DataFrame:
+    """What stands above the values of an export: batch, name, total, sorted types, files with counts, encryption."""
+    files = export_files(exported).groupBy("batch_id").agg(
+        F.array_sort(F.collect_list(F.struct("filename", "pii_count"))).alias("files"))
+    names = batches.select("batch_id", F.trim("name").alias("name"))
+    return export_metadata(exported).join(files, "batch_id").join(names, "batch_id", "left").withColumn(
+        "encryption", F.lit("AES-GCM-256"))
+
+
 def page_of(df: DataFrame, order: list, page: int, per_page: int) -> DataFrame:
     """One page of a sorted result."""
     return df.orderBy(*order).offset((page - 1) * per_page).limit(per_page)

@@ -240,6 +240,22 @@ def export_payload(spark, sf):
     return A.export_payload(A.export_rows(C.hits(spark, sf)))
 
 
+@query("export_values", f"""SELECT batch_id, concat_ws('-', type, lpad(file_ord::VARCHAR, 20, '0'), lpad(hit_no::VARCHAR, 20, '0')) AS part,
+ concat('{{"type":"', type, '","value":"', value, '","filename":"', filename, '"}}') AS payload FROM ({EXPORT})""")
+def export_values(spark, sf):
+    return A.export_values(A.export_rows(C.hits(spark, sf)))
+
+
+@query("export_document", f"""SELECT e.batch_id, trim(b.name) AS name, e.total_piis, e.pii_types, e.files, 'AES-GCM-256' AS encryption FROM (
+ SELECT batch_id, count(*) AS total_piis, array_to_string(list_sort(list(DISTINCT type)), ',') AS pii_types,
+ (SELECT string_agg(concat(filename, ':', n), ',' ORDER BY filename) FROM (SELECT filename, count(*) AS n FROM ({EXPORT}) i WHERE i.batch_id = x.batch_id GROUP BY 1)) AS files
+ FROM ({EXPORT}) x GROUP BY batch_id) e LEFT JOIN ({C.BATCHES}) b USING (batch_id)""")
+def export_document(spark, sf):
+    rows = A.export_document(A.export_rows(C.hits(spark, sf)), C.batches(spark, sf))
+    files = F.array_join(F.transform("files", lambda f: F.concat(f["filename"], F.lit(":"), f["pii_count"].cast("string"))), ",")
+    return rows.withColumns({"files": files, "pii_types": F.array_join("pii_types", ",")})
+
+
 @query("page_of", f"SELECT batch_id, filename, hit_no, type FROM ({C.HITS}) ORDER BY hit_no, batch_id OFFSET 50 LIMIT 25")
 def page_of(spark, sf):
     return A.page_of(C.hits(spark, sf).select("batch_id", "filename", "hit_no", "type"), ["hit_no", "batch_id"], 3, 25)

@@ -47,17 +47,20 @@ def _debits(spark, sf):
                     (F.col("user_id") % 10 == 0).alias("unlimited"), F.lit(150).cast("bigint").alias("start_balance"))
 
 
-@query("admit_debits", f"""WITH RECURSIVE d AS ({DEBITS}), w AS (
+ADMITTED = f"""WITH RECURSIVE d AS ({DEBITS}), w AS (
  SELECT user_id, 0::BIGINT AS rn, -1::BIGINT AS event_id, 0::BIGINT AS amount, true AS admitted, 150::BIGINT AS balance FROM (SELECT DISTINCT user_id FROM d)
  UNION ALL SELECT d.user_id, d.rn, d.event_id, d.amount, d.user_id % 10 = 0 OR d.amount <= 0 OR w.balance >= d.amount,
   CASE WHEN d.user_id % 10 = 0 OR NOT (d.amount <= 0 OR w.balance >= d.amount) THEN w.balance ELSE w.balance - d.amount END
- FROM w JOIN d ON d.user_id = w.user_id AND d.rn = w.rn + 1)
- SELECT event_id, user_id, amount, admitted, CASE WHEN user_id % 10 <> 0 THEN balance END AS balance_after FROM w WHERE rn > 0""")
+ FROM w JOIN d ON d.user_id = w.user_id AND d.rn = w.rn + 1)"""
+
+
+@query("admit_debits", f"{ADMITTED} SELECT event_id, user_id, amount, admitted, CASE WHEN user_id % 10 <> 0 THEN balance END AS balance_after FROM w WHERE rn > 0")
 def admit_debits(spark, sf):
     return L.admit_debits(_debits(spark, sf)).select("event_id", "user_id", "amount", "admitted", "balance_after")
 
 
-@query("usage_after")
+@query("usage_after", f"""{ADMITTED} SELECT user_id, coalesce(sum(amount) FILTER (WHERE admitted AND amount > 0), 0)::BIGINT AS tokens_used,
+ count(*) FILTER (WHERE NOT admitted) AS refused FROM w WHERE rn > 0 GROUP BY 1""")
 def usage_after(spark, sf):
     return L.usage_after(L.admit_debits(_debits(spark, sf)))
 
