@@ -133,7 +133,7 @@ def same_span_resolution(spark, sf):
         F.count("*").alias("hits"), F.count_distinct("doc_id", "start", "end").alias("spans"))
 
 
-@query("same_span_parity")
+@query("same_span_parity", f"WITH RECURSIVE {S.first_ctes(C.CARDS)} SELECT type, count(*) AS hits FROM kept GROUP BY 1")
 def same_span_parity(spark, sf):
     return D.detect_base(C.cards(spark, sf), same_span="first").groupBy("type").agg(F.count("*").alias("hits"))
 

@@ -124,13 +124,23 @@ def normalize_bbox(spark, sf):
     return C.table(spark, sf, "part").select(k.alias("id"), b["x"].alias("x"), b["height"].alias("height"))
 
 
-@query("drop_overlapping_boxes")
+COVERS = """len(list_filter(w.kept, lambda k: least(k.x + k.w, b.x + b.w) > greatest(k.x, b.x) AND least(k.y + k.h, b.y + b.h) > greatest(k.y, b.y)
+ AND (least(k.x + k.w, b.x + b.w) - greatest(k.x, b.x)) * (least(k.y + k.h, b.y + b.h) - greatest(k.y, b.y)) > least(k.w * k.h, b.w * b.h) * 0.5)) > 0"""
+
+
+@query("drop_overlapping_boxes", f"""WITH RECURSIVE b AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY box_no, x, y, w) AS rn FROM (
+ SELECT l_orderkey AS doc_id, l_linenumber % 2 AS page, l_partkey * 1000 + l_suppkey AS box_no, (l_partkey % 200)::INT AS x, (l_suppkey % 50)::INT AS y, l_quantity::INT AS w, 20 AS h FROM lineitem)),
+ w AS (SELECT doc_id, page, 0::BIGINT AS rn, 0::BIGINT AS box_no, 0 AS x, 0 AS y, 0 AS w, 0 AS h, false AS keep, []::STRUCT(x INT, y INT, w INT, h INT)[] AS kept FROM (SELECT DISTINCT doc_id, page FROM b)
+ UNION ALL SELECT b.doc_id, b.page, b.rn, b.box_no, b.x, b.y, b.w, b.h, NOT ({COVERS}),
+  CASE WHEN {COVERS} THEN w.kept ELSE list_append(w.kept, {{'x': b.x, 'y': b.y, 'w': b.w, 'h': b.h}}) END
+ FROM w JOIN b ON b.doc_id = w.doc_id AND b.page = w.page AND b.rn = w.rn + 1)
+ SELECT doc_id, page, box_no, x, y, w AS width, h AS height FROM w WHERE keep""")
 def drop_overlapping_boxes(spark, sf):
     li = C.table(spark, sf, "lineitem")
     bbox = G.box(F.col("l_partkey") % 200, F.col("l_suppkey") % 50, F.col("l_quantity"), F.lit(20))
     rows = li.select(F.col("l_orderkey").alias("doc_id"), (F.col("l_linenumber") % 2).alias("page"),
                      (F.col("l_partkey") * 1000 + F.col("l_suppkey")).alias("box_no"), bbox.alias("bbox"))
-    return G.drop_overlapping_boxes(rows)
+    return G.drop_overlapping_boxes(rows).select("doc_id", "page", "box_no", "bbox.x", "bbox.y", "bbox.width", "bbox.height")
 
 
 @query("mask_rectangle", """SELECT id, greatest(0, x - 5) AS x1, greatest(0, top - 5) AS y1,

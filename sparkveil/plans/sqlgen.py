@@ -119,6 +119,26 @@ kept AS (SELECT r.* FROM ranked r JOIN walk w ON r.{key} = w.{key} AND r.type =
  AND lower(r.normalized) = w.norm AND r.rn = w.rn WHERE w.keep)"""
 
 
+def first_ctes(source: str, key: str = "doc_id") -> str:
+    """CTEs ending in ``kept``: the base detection with the rule ``same_span="first"``."""
+    patterns = cat.shape_catalog()
+    stop = ", ".join(lit(w) for w in cat.STOP_VALUES)
+    takes = "(lower(s.normalized) <> c.norm AND s.confidence > c.conf)"
+    return f"""{raw_matches(source, key, patterns)},
+{scored(key, patterns)},
+spans AS (SELECT *, (length(trim(value)) >= 3 AND NOT (regexp_full_match(trim(value), '[0-9]+') AND length(trim(value)) < 6 AND type <> 'PINCODE')
+ AND NOT (type = 'BANK_ACCOUNT' AND regexp_full_match(trim(value), '[6-9][0-9]{{9}}')) AND lower(trim(value)) NOT IN ({stop})) AS ok,
+ row_number() OVER (PARTITION BY {key}, "start", "end" ORDER BY prio) AS sn FROM scored),
+claim AS (SELECT {key}, "start", "end", sn, CASE WHEN ok THEN lower(normalized) ELSE '' END AS norm, CASE WHEN ok THEN confidence ELSE -1 END AS conf,
+ CASE WHEN ok THEN sn END AS winner FROM spans WHERE sn = 1
+ UNION ALL SELECT s.{key}, s."start", s."end", s.sn, CASE WHEN {takes} AND s.ok THEN lower(s.normalized) ELSE c.norm END,
+  CASE WHEN {takes} AND s.ok THEN s.confidence ELSE c.conf END, CASE WHEN NOT {takes} THEN c.winner WHEN s.ok THEN s.sn END
+ FROM claim c JOIN spans s ON s.{key} = c.{key} AND s."start" = c."start" AND s."end" = c."end" AND s.sn = c.sn + 1),
+ended AS (SELECT * FROM claim QUALIFY row_number() OVER (PARTITION BY {key}, "start", "end" ORDER BY sn DESC) = 1),
+owned AS (SELECT s.* FROM spans s JOIN ended e ON s.{key} = e.{key} AND s."start" = e."start" AND s."end" = e."end" AND s.sn = e.winner),
+{_nearby(key, "owned", "prio")}"""
+
+
 def base_ctes(source: str, key: str = "doc_id", types=None) -> str:
     """CTEs ending in ``kept``: the base detection over ``source``."""
     patterns = cat.shape_catalog()
