@@ -15,7 +15,6 @@ from .detection_queries import DOCS, docs
 from .registry import query
 
 PASSWORD = "correct horse"
-MASKED_TYPES = ["EMAIL", "IPV4", "CARD_NUMBER"]
 K6, K9, K4 = "lpad(c_custkey::VARCHAR, 6, '0')", "lpad(c_custkey::VARCHAR, 9, '0')", "lpad((c_custkey % 10000)::VARCHAR, 4, '0')"
 
 
@@ -50,7 +49,7 @@ def mask_text(spark, sf):
 
 
 def _masked_sql():
-    return f"""WITH RECURSIVE {S.base_ctes(DOCS, types=MASKED_TYPES)},
+    return f"""WITH RECURSIVE {S.base_ctes(DOCS)},
  v AS (SELECT doc_id, list(value ORDER BY length(value) DESC, value) AS vs FROM (SELECT DISTINCT doc_id, value FROM kept) GROUP BY doc_id)
  SELECT d.doc_id, md5(CASE WHEN vs IS NULL THEN d.text ELSE list_reduce(list_prepend(d.text, vs), lambda t, x: replace(t, x, repeat('█', length(x)))) END) AS digest
  FROM documents d LEFT JOIN v USING (doc_id)"""
@@ -58,13 +57,13 @@ def _masked_sql():
 
 @query("detect_and_mask", _masked_sql())
 def detect_and_mask(spark, sf):
-    return M.detect_and_mask(docs(spark, sf), types=MASKED_TYPES).select("doc_id", F.md5("text").alias("digest"))
+    return M.detect_and_mask(docs(spark, sf)).select("doc_id", F.md5("text").alias("digest"))
 
 
 @query("mask_stored_hits", _masked_sql())
 def mask_stored_hits(spark, sf):
     texts = docs(spark, sf)
-    return M.mask_text(texts, D.detect_base(texts, types=MASKED_TYPES)).select("doc_id", F.md5("text").alias("digest"))
+    return M.mask_text(texts, D.detect_base(texts)).select("doc_id", F.md5("text").alias("digest"))
 
 
 @query("mask_spans", f"""WITH RECURSIVE {S.base_ctes(C.CARDS)},
