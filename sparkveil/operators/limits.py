@@ -9,6 +9,19 @@ from ..functions.folds import let
 from .replay import SLICE_ROWS, replay
 
 
+def cut_at_gaps(events: DataFrame, keys, ts: str, order: str, window: float, out="__segment") -> DataFrame:
+    """Number the stretches of a key's requests between pauses of a whole window or more.
+
+    After such a pause nothing admitted before still counts and a counter's window has passed, so stretches are
+    independent of one another and a busy key becomes many groups.
+    """
+    line = Window.partitionBy(*keys).orderBy(ts, order)
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    pause = F.coalesce(at - F.lag(at).over(line) >= F.lit(int(window * 1_000_000)), F.lit(False))
+    marked = events.withColumn("__pause", pause.cast("bigint"))
+    return marked.withColumn(out, F.sum("__pause").over(line.rowsBetween(Window.unboundedPreceding, 0))).drop("__pause")
+
+
 def rate_limit(events: DataFrame, most: int, window: float, keys=("endpoint", "client"), ts="ts",
                order="event_id", slice_rows=SLICE_ROWS) -> DataFrame:
     """Exact limiter: a request passes while fewer than ``most`` admitted ones
@@ -22,9 +35,10 @@ def rate_limit(events: DataFrame, most: int, window: float, keys=("endpoint", "c
             F.when(F.size(x) < most, F.concat(x, F.array(now))).otherwise(x).alias("s"),
             (F.size(x) < most).alias("e")))
 
-    out = replay(events, list(keys), ts, [ts, order], F.array().cast("array<bigint>"), step,
+    cut = cut_at_gaps(events, keys, ts, order, window)
+    out = replay(cut, [*keys, "__segment"], ts, [ts, order], F.array().cast("array<bigint>"), step,
                  "array<bigint>", "boolean", slice_rows)
-    return out.withColumnRenamed("report", "admitted")
+    return out.withColumnRenamed("report", "admitted").drop("__segment")
 
 
 def rate_limit_counter(events: DataFrame, most: int, window: float, keys=("endpoint", "client"), ts="ts",
@@ -41,9 +55,10 @@ def rate_limit_counter(events: DataFrame, most: int, window: float, keys=("endpo
         nxt = F.struct(F.when(fresh, now).otherwise(s["opened"]).alias("opened"), n.alias("n"))
         return F.struct(nxt.alias("s"), (n <= most).alias("e"))
 
-    out = replay(events, list(keys), ts, [ts, order], F.struct(F.lit(0).cast("bigint").alias("opened"), F.lit(0).alias("n")),
+    cut = cut_at_gaps(events, keys, ts, order, window)
+    out = replay(cut, [*keys, "__segment"], ts, [ts, order], F.struct(F.lit(0).cast("bigint").alias("opened"), F.lit(0).alias("n")),
                  step, state, "boolean", slice_rows)
-    return out.withColumnRenamed("report", "admitted")
+    return out.withColumnRenamed("report", "admitted").drop("__segment")
 
 
 def rate_screen(events: DataFrame, most: int, window: int, keys=("endpoint", "client"), ts="ts") -> DataFrame:
