@@ -14,8 +14,9 @@ import regex
 
 from .shared import blocks
 
-#: Entries that a worker's cache may hold; a full cache is emptied.
-CACHE_ENTRIES = 1_000_000
+#: Entries in each of the two generations of a worker's caches. A full younger one becomes the older, whose entries are
+#: taken over when they are met again; some 200 bytes an entry, four generations in all.
+CACHE_ENTRIES = 250_000
 #: Runs longer than this are encoded but never cached.
 CACHE_RUN_BYTES = 64
 
@@ -29,6 +30,24 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+class Cache:
+    """Two generations of entries, of bounded number."""
+
+    def __init__(self, most: int = CACHE_ENTRIES):
+        self.most, self.young, self.old = most, {}, {}
+
+    def get(self, key):
+        got = self.young.get(key)
+        if got is None and (got := self.old.get(key)) is not None:
+            self.put(key, got)
+        return got
+
+    def put(self, key, value) -> None:
+        if len(self.young) >= self.most:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
+
+
 class Encoder:
     """Ids of runs as little-endian unsigned 32-bit bytes."""
 
@@ -45,21 +64,21 @@ class Encoder:
             raise ValueError("expected a lower-casing tokenizer that drops white space")
         self.split = regex.compile(first["pattern"]["Regex"])
         self.letters = byte_letters()
-        self.runs: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.runs, self.pieces = Cache(), Cache()
 
     def _piece(self, piece: str) -> bytes:
         got = self.pieces.get(piece)
         if got is None:
             shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
             got = np.array([t.id for t in self.library.model.tokenize(shown)], "<u4").tobytes()
-            if len(self.pieces) >= CACHE_ENTRIES:
-                self.pieces.clear()
-            self.pieces[piece] = got
+            self.pieces.put(piece, got)
         return got
 
     def run(self, run: bytes) -> bytes:
         """Ids of one white-space run."""
+        known = self.runs.get(run)
+        if known is not None:
+            return known
         text = run.decode("utf-8", "surrogatepass")
         low = text.lower()
         if _PLAIN.fullmatch(text) and not any(s in low for s in self.special):
@@ -68,9 +87,7 @@ class Encoder:
             ids = self.library.encode(text.encode("utf-8", "replace").decode(), add_special_tokens=False).ids
             got = np.array(ids, "<u4").tobytes()
         if len(run) <= CACHE_RUN_BYTES:
-            if len(self.runs) >= CACHE_ENTRIES:
-                self.runs.clear()
-            self.runs[run] = got
+            self.runs.put(run, got)
         return got
 
     def ids(self, text: str | None) -> bytes:
@@ -78,7 +95,7 @@ class Encoder:
         out = bytearray()
         for block in blocks((text or "").encode("utf-8", "surrogatepass")):
             runs = block.split()
-            got = list(map(self.runs.get, runs))
+            got = list(map(self.runs.young.get, runs))
             if None in got:
                 got = [self.run(r) if g is None else g for r, g in zip(runs, got)]
             out += b"".join(got)

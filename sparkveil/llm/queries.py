@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,8 +22,10 @@ def query(name: str, sql: str | None = None):
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A given table. Python workers of a local session look for this package where the driver found it."""
-    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+    """A given table. Python workers look for this package where the driver found it, if nothing else leads them there."""
+    root = str(Path(__file__).resolve().parents[2])
+    if root not in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        spark.sparkContext.environment.setdefault("PYTHONPATH", root)
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
