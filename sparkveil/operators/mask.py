@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.checks import strip
-from ..functions.folds import let
 from .detect import ADDERS
 
 BLOCK = "█"
