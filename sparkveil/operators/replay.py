@@ -9,6 +9,8 @@ state carried in a table, so no task ever holds more than a slice of a key.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,13 +40,20 @@ def _fold(rows: DataFrame, keys, order, state0: Column, step, state_type, report
     return groups.select(*keys, F.explode_outer(ordered_fold(F.col("__rows"), start, wrapped, emit)).alias("e"))
 
 
+def _join_same(left: DataFrame, right: DataFrame, keys, how: str) -> DataFrame:
+    """Join on ``keys`` where nulls are equal, keeping the left side's keys."""
+    named = right.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys])
+    same = reduce(and_, [left[k].eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)])
+    return left.join(named, same, how).drop(*[f"__k{i}" for i in range(len(keys))])
+
+
 def replay(events: DataFrame, keys: list[str], ts: str, order: list[str], state0: Column, step,
            state_type: str, report_type: str, slice_rows: int = SLICE_ROWS, bucket_seconds: int = 1) -> DataFrame:
     """Rows of ``events`` with the outcome of the rule in ``report``.
 
     ``step(state, row)`` returns a struct of ``s``, the next state, and ``e``, the
     report; ``state0`` may use ``keys``.  ``order`` starts with the time column ``ts`` and must be unique
-    within a key.
+    within a key.  Rows without a time come first; rows without a key are a key of their own.
     """
     keys = list(keys)
     none = F.lit(None).cast(state_type)
@@ -64,7 +73,7 @@ def replay(events: DataFrame, keys: list[str], ts: str, order: list[str], state0
     blocks = counted.withColumn("__block", F.floor((upto - 1) / slice_rows))
     number = F.dense_rank().over(Window.partitionBy(*keys).orderBy("__block")) - 1
     slices = blocks.select(*keys, "__b", number.alias("__slice"))
-    placed = events.withColumn("__b", bucket).join(slices, [*keys, "__b"]).drop("__b")
+    placed = _join_same(events.withColumn("__b", bucket), slices, [*keys, "__b"], "inner").drop("__b")
     placed.write.partitionBy("__slice").parquet(f"{root}/in")
     rows = spark.read.schema(placed.schema).parquet(f"{root}/in")
     last = slices.agg(F.max("__slice")).first()[0]
@@ -73,7 +82,7 @@ def replay(events: DataFrame, keys: list[str], ts: str, order: list[str], state0
         if i == 0:
             part = part.withColumn("__state", none)
         else:
-            part = part.join(spark.read.parquet(f"{root}/state/n={i - 1}"), keys, "left")
+            part = _join_same(part, spark.read.parquet(f"{root}/state/n={i - 1}"), keys, "left")
         out = _fold(part, keys, order, state0, step, state_type, report_type)
         out.write.parquet(f"{root}/out/n={i}")
         written = spark.read.parquet(f"{root}/out/n={i}")

@@ -139,6 +139,29 @@ def test_rate_limits_like_a_loop_whole_and_sliced(spark, slice_rows):
         assert screen[i] == sum(1 for _, s2, c2 in rows if c2 == c and s - 60 < s2 <= s)
 
 
+@pytest.mark.parametrize("slice_rows", [10_000, 40])
+def test_rows_without_key_or_time_are_replayed_whole_and_sliced(spark, slice_rows):
+    rng = random.Random(6)
+    rows = [(i, None if i % 11 == 0 else rng.randint(0, 400), rng.choice(["hot", "hot", None, "a"]), rng.choice([2, 5, 50, -60])) for i in range(600)]
+    e = spark.createDataFrame(rows, "event_id bigint, s bigint, user_id string, amount bigint").select(
+        "event_id", F.timestamp_seconds("s").alias("ts"), "user_id", "amount", F.lit(False).alias("unlimited"),
+        F.lit(150).cast("bigint").alias("start_balance"))
+    admitted = L.admit_debits(e, slice_rows=slice_rows)
+    got = {r.event_id: (r.admitted, r.balance_after) for r in admitted.collect()}
+    want = {}
+    for u in {r[2] for r in rows}:
+        want |= brute_debits([(-1 if s is None else s, i, a) for i, s, w, a in rows if w == u], 150)
+    assert got == want and admitted.count() == len(rows)
+    used = {r.user_id: (r.tokens_used, r.refused) for r in L.usage_after(admitted).collect()}
+    assert used == {u: (sum(a for i, _, w, a in rows if w == u and a > 0 and want[i][0]), sum(w == u and not want[i][0] for i, _, w, _ in rows))
+                    for u in {r[2] for r in rows}}
+    asked = e.select("event_id", "ts", F.col("user_id").alias("client"), F.when(F.col("event_id") % 7 > 0, "e").alias("endpoint"))
+    for limit in (R.rate_limit, R.rate_limit_counter):
+        whole = {r.event_id: r.admitted for r in limit(asked, 4, 60).collect()}
+        assert len(whole) == len(rows)
+        assert {r.event_id: r.admitted for r in limit(asked, 4, 60, slice_rows=slice_rows).collect()} == whole
+
+
 def test_small_limits(spark):
     e = spark.createDataFrame([(i, i, "a", 1) for i in range(5)], "event_id bigint, s bigint, endpoint string, client int").withColumn(
         "ts", F.timestamp_seconds("s"))
