@@ -8,6 +8,8 @@ once in the corpus needs no sorting. Stretches that are equal as a whole count o
 of a few windows, for which the same holds. What is left is one suffix for each block: tasks sort them, front-code the
 runs and deal them out by leading bytes, and loser trees merge the runs. Blocks whose common prefix spans all that
 their windows share stand together in that order and differ at the edges alone, where their windows are compared.
+A large group of such blocks is dealt out in pieces; each piece is merged and compared by itself, and what its windows
+come to is added up over the pieces.
 """
 
 from __future__ import annotations
@@ -144,14 +146,16 @@ def _blocks(parts: DataFrame, length: int, reach: int, block: int) -> DataFrame:
 
 def _runs(parts: DataFrame, length: int, deals: int, block: int, most: int) -> DataFrame:
     """Sorted, front-coded runs of one suffix for each wanted block, from its ``lead`` on, for each of ``deals`` shares;
-    with the bytes to the left of it that the block's other windows have, and whose windows they are."""
+    with the bytes to the left of it that the block's other windows have, and whose windows they are. A group of more
+    than ``GROUP`` blocks goes to several shares, by what stands at its blocks' edges."""
     kind = parts.schema["id"]
     size = length - block + 1
     schema = StructType([*StructType.fromDDL(
-        "share int, lengths array<int>, rests array<binary>, lefts array<binary>, firsts array<long>, lasts array<long>, leads array<long>, ns array<long>, ts array<long>").fields,
+        "share int, lengths array<int>, rests array<binary>, lefts array<binary>, firsts array<long>, lasts array<long>, leads array<long>, ns array<long>, pieces array<int>, ts array<long>").fields,
         StructField("ids", ArrayType(kind.dataType))])
 
     def run(batches):
+        digest = xxhash.xxh3_64_intdigest
         kinds = to_arrow_schema(schema)
         held: list[list[tuple]] = [[] for _ in range(deals)]
         total = 0
@@ -160,9 +164,9 @@ def _runs(parts: DataFrame, length: int, deals: int, block: int, most: int) -> D
             for share, rows in enumerate(held):
                 if rows:
                     rows.sort(key=lambda r: r[0])
-                    suffixes, lefts, firsts, lasts, leads, ns, ts, ids = zip(*rows)
+                    suffixes, lefts, firsts, lasts, leads, ns, pieces, ts, ids = zip(*rows)
                     lengths, rests = front_coded(suffixes)
-                    one = [[share], [lengths], [rests], *([list(c)] for c in (lefts, firsts, lasts, leads, ns, ts, ids))]
+                    one = [[share], [lengths], [rests], *([list(c)] for c in (lefts, firsts, lasts, leads, ns, pieces, ts, ids))]
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(one, kinds)], names=schema.names)
                     rows.clear()
 
@@ -170,9 +174,10 @@ def _runs(parts: DataFrame, length: int, deals: int, block: int, most: int) -> D
             for i, t, text, wanted in zip(*(batch.column(k).to_pylist() for k in range(4))):
                 data = _bytes(text)
                 for w in wanted:
-                    suffix = data[w["lead"]: w["last"] + length]
-                    share = xxhash.xxh3_64_intdigest(suffix[:size]) % deals
-                    held[share].append((suffix, data[w["first"]: w["lead"]], w["first"], w["last"], w["lead"], w["n"], t, i))
+                    suffix, left = data[w["lead"]: w["last"] + length], data[w["first"]: w["lead"]]
+                    piece = digest(left, seed=digest(suffix[size:])) % w["pieces"]
+                    share = digest(suffix[:size], seed=piece) % deals
+                    held[share].append((suffix, left, w["first"], w["last"], w["lead"], w["n"], w["pieces"], t, i))
                     total += 1
                 if total >= most:
                     yield from flush()
@@ -184,19 +189,26 @@ def _runs(parts: DataFrame, length: int, deals: int, block: int, most: int) -> D
 
 #: Windows in a block at most, and suffixes that a task sorts at once; a suffix takes some 500 bytes.
 BLOCK, RUN_SUFFIXES = 16, 100_000
+#: Blocks of a group that are compared at once; larger groups are dealt out in pieces of about this size.
+GROUP = 2_000
 
 
-def _equal_windows(group: list[tuple[bytes, bytes, int, int, int, int]], size: int, block: int) -> dict[int, list[int]]:
-    """Starts of windows that stand elsewhere too, by member; members agree on ``size`` bytes from their lead on, so
-    their windows differ at the edges alone. Members are (suffix, left, first, last, lead, n)."""
+def _window_counts(group: list[tuple[bytes, bytes, int, int, int, int]], size: int, block: int) -> dict[tuple[int, bytes, bytes], list[int]]:
+    """The members that have each window; members agree on ``size`` bytes from their lead on, so their windows differ
+    at the edges alone. Members are (suffix, left, first, last, lead, n)."""
     by: dict[tuple[int, bytes, bytes], list[int]] = {}
     for k, (suffix, left, first, last, lead, _) in enumerate(group):
         right = suffix[size:]
         for p in range(first, last + 1):
             j = lead - p
             by.setdefault((j, left[len(left) - j:], right[: block - 1 - j]), []).append(k)
+    return by
+
+
+def _equal_windows(group: list[tuple[bytes, bytes, int, int, int, int]], size: int, block: int) -> dict[int, list[int]]:
+    """Starts of windows that stand elsewhere too, by member."""
     found: dict[int, list[int]] = {}
-    for (j, _, _), members in by.items():
+    for (j, _, _), members in _window_counts(group, size, block).items():
         if len(members) > 1 or group[members[0]][5] > 1:
             for k in members:
                 if group[k][5] == 1:
@@ -204,22 +216,40 @@ def _equal_windows(group: list[tuple[bytes, bytes, int, int, int, int]], size: i
     return found
 
 
+def _open_windows(group: list[tuple[bytes, bytes, int, int, int, int]], size: int, block: int) -> list[tuple[int, int, int, int | None, int]]:
+    """(a, b, n, member, j) for each different window of a piece: a hash of 128 bits, its count up to two, the member whose
+    window hangs on the other pieces, none where this piece alone settles it, and how far before the lead it starts."""
+    out = []
+    for (j, before, after), members in _window_counts(group, size, block).items():
+        suffix, n = group[members[0]][0], group[members[0]][5]
+        h = xxhash.xxh3_128_intdigest(before + suffix[:size] + after)
+        many = len(members) > 1 or n > 1
+        out.append((_signed(h >> 64), _signed(h & (1 << 64) - 1), 2 if many else 1, None if many else members[0], j))
+    return out
+
+
 def sorted_repeats(parts: DataFrame, length: int, block: int) -> DataFrame:
     """(id, t, places): starts of windows that stand elsewhere too, among the blocks that stand for one place.
 
-    ``parts`` has id, t, text and wanted: (first, last, lead, n) of the blocks to sort and how many places each stands for."""
+    ``parts`` has id, t, text and wanted: (first, last, lead, n, pieces) of the blocks to sort, how many places each stands
+    for and in how many pieces its group is dealt out."""
     deals = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     runs = stored(_runs(parts, length, deals, block, RUN_SUFFIXES), "runs")
     kind = runs.schema["ids"].dataType.elementType.simpleString()
-    size = length - block + 1
+    size, most = length - block + 1, GROUP
 
     def run(batch: pd.DataFrame) -> pd.DataFrame:
         rows = list(batch.itertuples())
-        at, out, group, owners = [-1] * len(rows), [], [], []
-
-        def close():
-            for k, places in _equal_windows(group, size, block).items() if len(group) > 1 else ():
-                out.append((*owners[k], sorted(places)))
+        at, out = [-1] * len(rows), []
+        whole: tuple[list, list] = [], []
+        piece: tuple[list, list] = [], []
+
+        def close(group, owners, dealt):
+            if dealt or len(group) > 1:
+                out.extend((*owners[k], sorted(places), None, None, 0) for k, places in _equal_windows(group, size, block).items())
+            if dealt:
+                for a, b, n, k, j in _open_windows(group, size, block):
+                    out.append((None, None, [], a, b, n) if k is None else (*owners[k], [group[k][4] - j], a, b, n))
             group.clear()
             owners.clear()
 
@@ -227,13 +257,21 @@ def sorted_repeats(parts: DataFrame, length: int, block: int) -> DataFrame:
             at[r] += 1
             i, x = at[r], rows[r]
             if known < size:
-                close()
+                close(*whole, False)
+            if known < size or len(piece[0]) >= most:
+                close(*piece, True)
+            group, owners = piece if x.pieces[i] > 1 else whole
             group.append((suffix, x.lefts[i], x.firsts[i], x.lasts[i], x.leads[i], x.ns[i]))
             owners.append((x.ids[i], x.ts[i]))
-        close()
-        return pd.DataFrame(out, columns=["id", "t", "places"])
+        close(*whole, False)
+        close(*piece, True)
+        return pd.DataFrame(out, columns=["id", "t", "places", "a", "b", "n"], dtype=object)
 
-    return runs.groupBy("share").applyInPandas(run, f"id {kind}, t long, places array<long>")
+    met = stored(runs.groupBy("share").applyInPandas(run, f"id {kind}, t long, places array<long>, a long, b long, n long"), "places")
+    dealt = met.filter("a IS NOT NULL")
+    several = dealt.groupBy("a", "b").agg(F.sum("n").alias("n")).filter("n > 1").select("a", "b")
+    hung = dealt.filter("size(places) > 0").join(several, ["a", "b"], "left_semi")
+    return met.filter("a IS NULL").select("id", "t", "places").unionByName(hung.select("id", "t", "places"))
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, reach: int = REACH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -259,10 +297,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, reach: int = REACH, id
     blocks = stored(_blocks(parts, length, reach, BLOCK), "blocks")
     alike = blocks.groupBy("c", "f").agg(F.sum("n").alias("n"))
     settled = blocks.filter("n = 1").join(alike.filter("n > 1").select("c", "f"), ["c", "f"], "left_semi").select("id", "t", "first", "last")
-    kinds = alike.groupBy("c").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("c")
-    chosen = blocks.join(kinds, "c", "left_semi").groupBy("c", "f").agg(F.min(F.struct("id", "t", "first", "last", "lead")).alias("r"), F.sum("n").alias("n"))
+    kinds = alike.groupBy("c").agg(F.count("*").alias("kinds")).filter("kinds > 1").select("c", F.ceil(F.col("kinds") / GROUP).cast("int").alias("pieces"))
+    chosen = blocks.join(kinds, "c").groupBy("c", "f").agg(F.min(F.struct("id", "t", "first", "last", "lead")).alias("r"), F.sum("n").alias("n"), F.first("pieces").alias("pieces"))
     texts = parts.select(F.col("id").alias("i"), F.col("t").alias("h"), "text")
-    places = sorted_repeats(with_text(chosen, texts, "r.lead"), length, BLOCK).select("id", "t", F.explode("places").alias("first")).withColumn("last", F.col("first"))
+    places = sorted_repeats(with_text(chosen, texts, "r.lead", "pieces"), length, BLOCK).select("id", "t", F.explode("places").alias("first")).withColumn("last", F.col("first"))
     several = several.unionByName(settled)
     return several.unionByName(places.select("id", "t", "first", "last")).groupBy("id", "t").agg(F.collect_list(F.struct("first", "last")).alias("starts"))
 

@@ -73,6 +73,30 @@ def test_shared_parts(spark, monkeypatch, seed, several, block):
         assert (r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) == want, (i, texts[i])
 
 
+@pytest.mark.parametrize("group", [40, 1_000_000])
+def test_one_passage_in_most_texts(spark, monkeypatch, group):
+    """Its two groups of blocks are dealt over the shares, and windows that stand in several pieces are still found."""
+    monkeypatch.setattr(suffixes, "GROUP", group, raising=False)
+    seen = {}
+    keep = suffixes.stored
+    monkeypatch.setattr(suffixes, "stored", lambda df, name: seen.setdefault(name, keep(df, name)))
+    rng = random.Random(8)
+
+    def near(n):
+        return "".join(rng.choice("abcdefgh") for _ in range(n))
+
+    passage = near(40)
+    texts = [near(rng.randrange(0, 30)) + passage + near(rng.randrange(0, 30)) for _ in range(700)] + [near(60) for _ in range(50)]
+    frame = docs(spark, texts, more=False).selectExpr("if(doc_id = 3, null, doc_id) AS doc_id", "text").repartition(5)
+    rows = {r.doc_id: r for r in drop_repeats(frame, 30, 12).collect()}
+    for i, want in enumerate(plain(texts, 30)):
+        r = rows[None if i == 3 else i]
+        assert (r.n_bytes, r.n_removed, len(r.spans), bytes(r.kept)) == want, (i, texts[i])
+    shares = [r.n for r in seen["runs"].selectExpr("share", "size(firsts) AS n").groupBy("share").sum("n").toDF("share", "n").collect()]
+    if group < sum(shares):
+        assert max(shares) < 0.3 * sum(shares)
+
+
 def test_odd_rows(spark):
     frame = docs(spark, ["y" * 50 + "tail", None, "", "short", "same text that is long enough to be a match"])
     frame = frame.unionByName(frame.filter("doc_id = 4"))
