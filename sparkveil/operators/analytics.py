@@ -285,16 +285,18 @@ def export_files(exported: DataFrame) -> DataFrame:
     return exported.groupBy("batch_id", "filename").agg(F.count("*").alias("pii_count"))
 
 
-def export_payload(exported: DataFrame, order=("file_ord", "hit_no"), part_values: int = 10_000) -> DataFrame:
+def export_payload(exported: DataFrame, order=("file_ord", "hit_no"), part_values: int | None = None) -> DataFrame:
     """JSON payloads (batch_id, part, payload): {"type": ..., "values": [...]}.
 
-    A type's values stay in first-seen order.  A type with very many values is
-    spread over several payloads by hash, so that none grows without limit.
+    A type is one payload, its values in first-seen order, at every size, unless
+    the caller asks for payloads of about ``part_values`` values, dealt by hash.
     """
-    parts = exported.groupBy("batch_id", "type").agg(
-        F.ceil(F.count("*") / part_values).cast("int").alias("__parts"))
-    part = F.pmod(F.xxhash64("value"), F.col("__parts")).cast("int")
-    rows = exported.join(parts, ["batch_id", "type"]).withColumn("__p", part)
+    rows = exported.withColumn("__p", F.lit(0))
+    if part_values:
+        parts = exported.groupBy("batch_id", "type").agg(
+            F.ceil(F.count("*") / part_values).cast("int").alias("__parts"))
+        part = F.pmod(F.xxhash64("value"), F.col("__parts")).cast("int")
+        rows = exported.join(parts, ["batch_id", "type"]).withColumn("__p", part)
     values = F.transform(F.array_sort(F.collect_list(F.struct(*order, "value"))), lambda x: x["value"])
     return rows.groupBy("batch_id", "type", "__p").agg(values.alias("values")).select(
         "batch_id", F.concat("type", F.lit("-"), F.col("__p").cast("string")).alias("part"),

@@ -102,18 +102,18 @@ def copies_of(df: DataFrame, content="text", key="doc_id") -> DataFrame:
 
 
 def csv_as_document(df: DataFrame, file: list[str], position: str, cols: list[str],
-                    block_rows: int = 10_000, parity=True) -> DataFrame:
+                    block_rows: int | None = None, parity=True) -> DataFrame:
     """Tables as texts: row lines, then every cell column by column.
 
-    ``position`` numbers the rows of a file from 0.  A file longer than
-    ``block_rows`` becomes several texts, so that no text grows without limit;
-    with ``parity`` missing cells show as ``nan`` in the cell list.
+    ``position`` numbers the rows of a file from 0.  A file is one text at every
+    size, unless the caller asks for texts of ``block_rows`` rows; with
+    ``parity`` missing cells show as ``nan`` in the cell list.
     """
     texts = [F.col(c).cast("string") for c in cols]
     line = F.concat_ws(" ", *texts)
     cells = [F.coalesce(t, F.lit("nan")) if parity else t for t in texts]
     rows = df.select(
-        *file, F.floor(F.col(position) / block_rows).alias("block"), F.col(position).alias("__p"),
+        *file, (F.floor(F.col(position) / block_rows) if block_rows else F.lit(0).cast("bigint")).alias("block"), F.col(position).alias("__p"),
         line.alias("__line"), *[c.alias(f"__c{i}") for i, c in enumerate(cells)])
     names = [f"__c{i}" for i in range(len(cols))]
     packed = F.array_sort(F.collect_list(F.struct("__p", "__line", *names)))

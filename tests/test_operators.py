@@ -1,5 +1,6 @@
 """De-duplication, masking, ledger, limits, sources and streams on small inputs."""
 
+import json
 import random
 
 import pytest
@@ -193,6 +194,20 @@ def test_payload_parts_hold_every_value(spark):
     assert out.count() > 1 and values.distinct().count() == 500 == values.count()
 
 
+def test_more_values_than_ten_thousand_keep_one_layout(spark):
+    n = 10_001
+    rows = spark.range(n).select(F.lit("B").alias("batch_id"), F.lit("PAN").alias("type"), F.concat(F.lit("v"), F.col("id")).alias("value"),
+                                 F.lit(0).alias("file_ord"), F.col("id").alias("hit_no"))
+    out = A.export_payload(rows)
+    opened = K.unlock_export(K.lock_export(out, "pw"), "pw").collect()
+    for got in (out.collect(), opened):
+        assert [(r.part, json.loads(r.payload)["values"]) for r in got] == [("PAN-0", [f"v{i}" for i in range(n)])]
+    table = spark.range(n).select(F.lit("f").alias("file"), F.col("id").alias("pos"), F.concat(F.lit("a"), F.col("id")).alias("a"), F.lit("b").alias("b"))
+    texts = S.csv_as_document(table, ["file"], "pos", ["a", "b"]).collect()
+    lines, cells = "\n".join(f"a{i} b" for i in range(n)), " ".join([f"a{i}" for i in range(n)] + ["b"] * n)
+    assert [r.text for r in texts] == [f"{lines}\n{cells}"]
+
+
 def test_paths_files_and_text(spark, tmp_path):
     cases = {"test/file.pdf": True, "results/batch_123/file.json": True, "../etc/passwd": False, "../../etc/passwd": False,
              "/etc/passwd": False, "test;rm -rf /": False, "test|cat /etc/passwd": False, "test&rm -rf /": False, "": False, "a/../b": True,
