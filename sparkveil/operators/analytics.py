@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.checks import strip
 from .context import classify_document
 from .dedupe import any_part, category_of, export_value, severity_of
+from .ordered import stretch
 from .running import running_totals
 
 # Types counted as government identifiers in a profile.
@@ -323,8 +324,12 @@ def export_document(exported: DataFrame, batches: DataFrame) -> DataFrame:
 
 
 def page_of(df: DataFrame, order: list, page: int, per_page: int) -> DataFrame:
-    """One page of a sorted result."""
-    return df.orderBy(*order).offset((page - 1) * per_page).limit(per_page)
+    """One page of a sorted result: rows are dealt by ranges, and only the ranges that hold the page are sorted.
+
+    To turn many pages, deal once (``ordered.into_ranges`` by the same order) and hand that table in: then a page reads
+    its own ranges and nothing else moves.
+    """
+    return stretch(df, order, (page - 1) * per_page, per_page)
 
 
 def page_count(df: DataFrame, per_page: int, by=()) -> DataFrame:

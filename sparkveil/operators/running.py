@@ -1,31 +1,15 @@
-"""Running totals that survive a key holding a large share of all rows."""
+"""Running totals that survive a key, or one instant of a key, holding a large share of all rows."""
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import and_
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from .ordered import running_sums
 
 
-def running_totals(df: DataFrame, keys: list[str], ts: str, order: list[str], sums: dict, unit="minute") -> DataFrame:
+def running_totals(df: DataFrame, keys: list[str], ts: str, order: list[str], sums: dict) -> DataFrame:
     """Add running sums of ``sums`` (name to column) per key in (ts, order).
 
-    A plain window over the key would sort all its rows in one task.  Here time
-    is cut into units: totals per (key, unit) are small, their running sum gives
-    each unit its offset, and the window inside one (key, unit) adds the rest.
     Rows without a time come first; rows without a key are a key of their own.
     """
-    keys = list(keys)
-    rows = df.withColumns({"__u": F.date_trunc(unit, ts), **{f"__{n}": c for n, c in sums.items()}})
-    totals = rows.groupBy(*keys, "__u").agg(*[F.sum(f"__{n}").alias(f"__{n}_t") for n in sums])
-    before = Window.partitionBy(*keys).orderBy("__u").rowsBetween(Window.unboundedPreceding, -1)
-    by = [*keys, "__u"]
-    offsets = totals.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(by)], *[
-        F.coalesce(F.sum(f"__{n}_t").over(before), F.lit(0)).alias(f"__{n}_o") for n in sums])
-    inside = Window.partitionBy(*keys, "__u").orderBy(ts, *order).rowsBetween(Window.unboundedPreceding, 0)
-    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"__k{i}")) for i, c in enumerate(by)])
-    out = rows.join(offsets, same).drop(*[f"__k{i}" for i in range(len(by))])
-    out = out.withColumns({n: F.sum(f"__{n}").over(inside) + F.col(f"__{n}_o") for n in sums})
-    return out.drop("__u", *[f"__{n}" for n in sums], *[f"__{n}_o" for n in sums])
+    return running_sums(df, list(keys), [ts, *order], sums)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.checks import strip
 from ..operators.detect import add_context_hits, add_base_hits, add_label_hits, explode_hits
+from ..operators.ordered import numbered
 
 # Extensions accepted for upload, and the kinds of files.
 ALLOWED_EXTENSIONS = ["pdf", "docx", "txt", "csv", "png", "jpg", "jpeg", "json"]
@@ -126,8 +127,8 @@ def csv_as_document(df: DataFrame, file: list[str], position: str, cols: list[st
 
 
 def number_rows(df: DataFrame, file: list[str], order: list[str], out="position") -> DataFrame:
-    """Position of each row in its file, for tables that carry none."""
-    return df.withColumn(out, F.row_number().over(Window.partitionBy(*file).orderBy(*order)) - 1)
+    """Position of each row in its file, for tables that carry none; a file of any size is spread over all tasks."""
+    return numbered(df, file, order, out)
 
 
 def route_detector(docs: DataFrame, name="filename") -> DataFrame:
