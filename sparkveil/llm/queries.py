@@ -140,3 +140,26 @@ def op6(spark, folder):
 
     rows = drop_repeats(table(spark, folder, "documents"))
     return rows.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op12_merkle_manifest")
+def op12(spark, folder):
+    from . import merkle
+
+    docs = table(spark, folder, "documents")
+    struck = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, F.lit(False))
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    text = F.when(struck, F.translate("text", upper, upper.lower())).otherwise(F.col("text"))
+    changed = merkle.leaf_of([F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text])
+    rows = merkle.prove(merkle.build(docs, more={"changed": changed}))
+    rows = rows.withColumn("folded_root", merkle.fold(F.col("changed"), F.col("path")))
+    return rows.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"), "folded_root",
+                       (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+@query("op13_importance_resampling")
+def op13(spark, folder):
+    from .importance import resample
+
+    rows = resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return rows.select("doc_id", "n_features", "weight", "score", "rank")
