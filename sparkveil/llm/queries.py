@@ -163,3 +163,11 @@ def op13(spark, folder):
 
     rows = resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return rows.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query("op11_consensus_host_paths")
+def op11(spark, folder):
+    from .host_paths import extract
+
+    rows = extract(table(spark, folder, "pages"))
+    return rows.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"), "path", "by_host")
