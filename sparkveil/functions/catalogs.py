@@ -344,13 +344,44 @@ def generic_catalog(category: str | None = None) -> list[Pattern]:
     ]
 
 
-def user_catalog(rows) -> list[Pattern]:
-    """A caller's own patterns from (type, regex[, confidence[, category]]) rows."""
+#: Flags that a caller's pattern may carry, as in the usual inline form.
+FLAGS = "imsx"
+# texts on which a pattern of a caller is tried before any document is
+TRIALS = [unit * (20_000 // len(unit)) for unit in ("a", "1", " ", "a ", "a.", "a1-", "ab@")]
+
+
+def user_catalog(rows, engine=None) -> list[Pattern]:
+    """A caller's own patterns from (type, regex[, confidence[, category[, flags[, group]]]]) rows.
+
+    ``flags`` are letters of ``FLAGS``, ``group`` is the group that holds the value (0: the whole match).  With
+    ``engine``, a JVM gateway, each pattern is tried there first: one that is no pattern, lacks its group, matches the
+    empty text, or overflows the stack on a long simple text is refused with a ValueError.
+    """
     out = []
     for i, row in enumerate(rows):
-        t, rx, *rest = row
-        out.append(Pattern(
-            t, rx, False, rest[1] if len(rest) > 1 else None, t,
-            rest[0] if rest else 0.5, i, None, 0,
-        ))
+        t, rx, confidence, category, flags, group = [*row, *[0.5, None, "", 0][len(row) - 2:]]
+        if set(flags or "") - set(FLAGS):
+            raise ValueError(f"{t}: flags are letters of {FLAGS}")
+        regex = f"(?{flags}){rx}" if flags else rx
+        if engine is not None:
+            _try_out(engine, t, regex, group)
+        out.append(Pattern(t, regex, False, category, t, confidence, i, None, group))
     return out
+
+
+def _try_out(engine, name: str, regex: str, group: int) -> None:
+    try:
+        compiled = engine.java.util.regex.Pattern.compile("(?U)" + regex)
+        if compiled.matcher("").groupCount() < group:
+            raise ValueError(f"{name}: there is no group {group}")
+        if compiled.matcher("").find():
+            raise ValueError(f"{name}: the pattern matches the empty text")
+        for text in TRIALS:
+            found = compiled.matcher(text)
+            if found.find() and found.start() == found.end():
+                raise ValueError(f"{name}: the pattern matches the empty text")
+    except ValueError:
+        raise
+    except Exception as e:  # a Java error, told apart only by its text
+        why = "overflows on a long text" if "StackOverflow" in str(e) else "is no pattern"
+        raise ValueError(f"{name}: the pattern {why}") from e

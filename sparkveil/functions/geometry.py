@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .folds import ordered_fold
+from .many import FEW
 
 BOX = "struct<x:int,y:int,width:int,height:int>"
 PADDING, MIN_HEIGHT, HEIGHT_RATIO = 5, 12, 0.55
@@ -48,8 +50,58 @@ def mask_rectangle(b: Column, image_width: Column, image_height: Column) -> Colu
         F.least(image_height, y1 + height + 2 * PADDING).alias("y2"))
 
 
+def _kept_boxes(share: float):
+    """Column function (x, y, width, height of a page's boxes in order): which stay.
+
+    Kept boxes are filed under the cells of grids with doubling cells: in its own grid, whose cells are as large as the
+    box, and in all coarser ones, where larger boxes look. A box looks at four cells of each grid at most.
+    """
+    # self-contained: workers need not have this package
+    @F.pandas_udf("array<boolean>")
+    def run(xs: pd.Series, ys: pd.Series, ws: pd.Series, hs: pd.Series) -> pd.Series:
+        def page(x, y, w, h):
+            if x is None:
+                return None
+            boxes = [None if any(v is None or v != v for v in b) else tuple(map(int, b)) for b in zip(x, y, w, h)]
+            level = [max(b[2], b[3], 1).bit_length() if b else 0 for b in boxes]
+            levels, upto, own, out = sorted(set(level)), {}, {}, []
+
+            def cells(b, k):
+                for cx in range(b[0] >> k, ((b[0] + max(b[2], 1) - 1) >> k) + 1):
+                    for cy in range(b[1] >> k, ((b[1] + max(b[3], 1) - 1) >> k) + 1):
+                        yield k, cx, cy
+
+            def meets(a, b):
+                dx = min(a[0] + a[2], b[0] + b[2]) - max(a[0], b[0])
+                dy = min(a[1] + a[3], b[1] + b[3]) - max(a[1], b[1])
+                return dx > 0 and dy > 0 and dx * dy > min(a[2] * a[3], b[2] * b[3]) * share
+
+            for b, n in zip(boxes, level):
+                if b is None:  # a box without a place overlaps nothing
+                    out.append(True)
+                    continue
+                hit = any(meets(a, b) for k in levels if k >= n for c in cells(b, k) for a in (upto if k == n else own).get(c, ()))
+                out.append(not hit)
+                if not hit:
+                    for k in levels:
+                        if k >= n:
+                            for c in cells(b, k):
+                                upto.setdefault(c, []).append(b)
+                                if k == n:
+                                    own.setdefault(c, []).append(b)
+            return out
+
+        return pd.Series([page(*row) for row in zip(xs, ys, ws, hs)], dtype=object)
+
+    return run
+
+
 def drop_overlapping_boxes(boxes: DataFrame, page=("doc_id", "page"), order="box_no", share=0.5) -> DataFrame:
-    """Per page, drop a box that covers, or is covered by, over half of a kept one."""
+    """Per page, drop a box that covers, or is covered by, over half of a kept one.
+
+    A page's boxes, a few dozen bytes each, meet in one row. A few are compared with all kept ones; of many, each only
+    with those in the cells that it touches.
+    """
     packed = F.array_sort(F.collect_list(F.struct(F.col(order), F.col("bbox").cast(BOX).alias("bbox"))))
     pages = boxes.groupBy(*page).agg(packed.alias("__boxes"))
 
@@ -61,25 +113,49 @@ def drop_overlapping_boxes(boxes: DataFrame, page=("doc_id", "page"), order="box
 
     def step(kept, r):
         hit = F.exists(kept, lambda k: overlap(k, r["bbox"]))
-        return F.when(hit, kept).otherwise(F.concat(kept, F.array(r["bbox"]))), F.struct(
-            (~hit).alias("keep"), r[order].alias(order), r["bbox"].alias("bbox"))
+        return F.when(hit, kept).otherwise(F.concat(kept, F.array(r["bbox"]))), ~hit
+
+    many = F.size("__boxes") > FEW
+    few = ordered_fold(F.when(~many, F.col("__boxes")), F.array().cast(f"array<{BOX}>"), step, "boolean")
+    side = lambda n: F.transform(F.when(many, F.col("__boxes")), lambda b: b["bbox"][n])
+    at_once = _kept_boxes(share)(*[side(n) for n in ("x", "y", "width", "height")])
+    marked = pages.withColumn("__keep", F.when(many, at_once).otherwise(few))
+    rows = marked.select(*page, F.explode_outer(F.arrays_zip("__boxes", "__keep")).alias("m"))
+    return rows.filter("coalesce(m.__keep, m.__boxes IS NOT NULL)").select(*page, F.col(f"m.__boxes.{order}").alias(order), F.col("m.__boxes.bbox").alias("bbox"))
+
+
+#: Characters of the grams by which blocks are found; a shorter value is a gram itself.
+GRAM = 4
+
+
+def _grams(text: Column, sizes) -> Column:
+    """Hashes of the different pieces of the text of each size."""
+    def of(n):
+        last = F.length(text) - n + 1
+        return F.transform(F.when(last > 0, F.sequence(F.lit(1), last)), lambda i: F.xxhash64(F.substring(text, i, n)))
 
-    order_type = boxes.schema[order].dataType.simpleString()
-    marks = ordered_fold(F.col("__boxes"), F.array().cast(f"array<{BOX}>"), step,
-                         f"struct<keep:boolean,{order}:{order_type},bbox:{BOX}>")
-    kept = F.filter(marks, lambda m: m["keep"])
-    rows = pages.select(*page, F.explode_outer(kept).alias("m"))
-    return rows.filter("m is not null").select(*page, f"m.{order}", "m.bbox")
+    none = F.array().cast("array<bigint>")
+    return F.array_distinct(F.concat(*[F.coalesce(of(n), none) for n in sizes]))
 
 
 def attach_bbox(hits: DataFrame, blocks: DataFrame, key="doc_id", hit="hit_no") -> DataFrame:
     """First block of the document, by line, whose text holds the value.
 
-    Joined on the document; the values of a document only meet its own blocks,
-    and the distinct values only.
+    Blocks are filed under the short pieces of their texts. A value looks under the rarest of its own pieces in that
+    document, and only the blocks found there are tested; both joins are on (document, piece), so a document of many
+    values and blocks is spread. An empty value lies in the first block.
     """
-    values = hits.select(key, "value").distinct()
-    b = blocks.select(key, "line_number", F.col("text").alias("__text"), "bbox")
-    found = values.join(b, key).filter(F.contains("__text", "value")).groupBy(key, "value").agg(
-        F.min_by("bbox", "line_number").alias("bbox"))
-    return hits.join(found, [key, "value"], "left")
+    values = hits.select(F.col(key).alias("__d"), "value").distinct()
+    b = blocks.select(F.col(key).alias("__d"), "line_number", F.col("text").alias("__text"), "bbox")
+    filed = b.select("__d", F.col("line_number").alias("__line"), F.explode(_grams(F.col("__text"), range(1, GRAM + 1))).alias("__g"))
+    common = filed.groupBy("__d", "__g").agg(F.count("*").alias("__n"))
+    # pieces of the value, all of one size: up to GRAM characters
+    pieces = F.when(F.length("value") >= GRAM, _grams(F.col("value"), [GRAM])).otherwise(F.array(F.xxhash64("value")))
+    asked = values.filter("value <> ''").select("__d", "value", F.explode(pieces).alias("__g"))
+    rare = asked.join(common, ["__d", "__g"]).groupBy("__d", "value").agg(F.min_by("__g", "__n").alias("__g"))
+    near = rare.join(filed, ["__d", "__g"]).select("__d", "value", F.col("__line").alias("line_number"))
+    empty = values.filter("value = ''").join(b.select("__d", "line_number"), "__d")
+    held = near.join(b.select("__d", "line_number", "__text"), ["__d", "line_number"]).filter(F.contains("__text", "value"))
+    first = held.select("__d", "value", "line_number").unionByName(empty).groupBy("__d", "value").agg(F.min("line_number").alias("line_number"))
+    found = first.join(b.groupBy("__d", "line_number").agg(F.first("bbox").alias("bbox")), ["__d", "line_number"])
+    return hits.join(found.select(F.col("__d").alias(key), "value", "bbox"), [key, "value"], "left")

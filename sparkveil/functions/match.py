@@ -14,7 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .catalogs import Pattern
-from .folds import ordered_fold
+from .folds import let, ordered_fold
 
 # Unicode noncharacters: never valid in interchanged text.
 MATCH = "struct<start:int,end:int,value:string>"
@@ -59,11 +59,62 @@ def pieces_of(text: Column, p: Pattern, group: int) -> Column:
     A piece reads: whole match, SEP, capture group (or nothing), SEP, text up to
     the next match.
     """
+    at = AROUND_AT.fullmatch(p.regex)
+    if at and not p.ignore_case:  # the group, where it has one, is the whole match
+        return F.split(marked_around_at(text, at[1], at[2]), OPEN, -1)
     inner = f"${group}" if group else ""
     marked = F.regexp_replace(text, F.lit(java_regex(p)), F.lit(f"{OPEN}$0{SEP}{inner}{SEP}"))
     return F.split(marked, OPEN, -1)
 
 
+# a pattern of the shape: word boundary, local part, @, domain with a last dot, word boundary
+AROUND_AT = re.compile(r"\\b\(?(\[[^\]]+\])\+@(\[[^\]]+\]\+\\\.\[[^\]]+\]\{2,\})\)?\\b")
+
+
+def marked_around_at(text: Column, local: str, domain: str) -> Column:
+    """The text with every address as OPEN, address, SEP, SEP, as a leftmost scan finds them.
+
+    A scan from every possible start walks through a long dotted run once for each of its words. Here the text is cut at
+    each ``@``: the domain is matched once, forward from there, and the local part is the run that ends there, from its
+    first word boundary on but not before the end of the address before it. So every character is looked at a few times.
+    """
+    parts = F.split(text, "@", -1)
+
+    def around(i):
+        left = F.get(parts, i)
+        run = F.length(F.regexp_extract(F.reverse(left), f"^{local}*", 0))
+        found = F.regexp_extract(F.get(parts, i + 1), f"(?U)^({domain})\\b", 1)
+        return F.struct(left.alias("left"), (F.length(left) - run).alias("run"), F.length(found).alias("domain"))
+
+    def step(taken, a):
+        """``taken``: how much of the part on the left belongs to the address before."""
+        begin = F.greatest(a["run"], taken)
+        # the character before the run decides over the boundary, where there is one
+        before = F.when(begin > 0, 1).otherwise(0)
+        tail = F.substring(a["left"], begin - before + 1, F.length(a["left"]))
+        name = F.length(F.when(before == 1, F.regexp_extract(tail, f"(?sU)(?<=.)\\b({local}++)\\z", 1)).otherwise(
+            F.regexp_extract(tail, f"(?U)\\b({local}++)\\z", 1)))
+        hit = (a["domain"] > 0) & (name > 0)
+        return F.when(hit, a["domain"]).otherwise(0), F.struct(
+            F.when(hit, name).otherwise(0).alias("name"), F.when(hit, a["domain"]).otherwise(0).alias("domain"))
+
+    ats = F.transform(F.sequence(F.lit(0), F.size(parts) - 2), around)
+    found = ordered_fold(ats, F.lit(0), step, "struct<name:int,domain:int>")
+
+    def shown(hits):
+        def one(part, i):
+            end = F.when(i > 0, F.get(hits, F.greatest(i - 1, F.lit(0)))["domain"]).otherwise(0)
+            name = F.coalesce(F.get(hits, i)["name"], F.lit(0))
+            rest = F.substring(part, end + 1, F.length(part) - end - name)
+            return F.concat(
+                F.substring(part, F.lit(1), end), F.when(end > 0, F.lit(SEP + SEP)).otherwise(""), rest,
+                F.when(name > 0, F.lit(OPEN)).otherwise(""), F.right(part, name))
+
+        return F.array_join(F.transform(parts, one), "@")
+
+    return F.when(F.size(parts) > 1, let(found, shown)).otherwise(text)
+
+
 def matches_in(pieces: Column) -> Column:
     """array<struct<start,end,value>> out of the pieces of one pattern."""
     def step(pos, part):

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.checks import strip
 from .context import classify_document
-from .dedupe import any_part, category_of, export_value, severity_of
+from .dedupe import any_part, category_of, export_value, first_of_group, severity_of
 from .ordered import stretch
 from .running import running_totals
 
@@ -269,10 +269,9 @@ def export_rows(hits: DataFrame, types=None, order=("file_ord", "hit_no")) -> Da
     rows = hits.withColumns({"__t": F.upper("type"), "__v": export_value(hits)}).filter(F.col("__v") != "")
     if types:
         rows = rows.filter(F.col("__t").isin([t.upper() for t in types]))
-    first = F.min(F.struct(*order, "filename")).alias("__first")
-    return rows.groupBy("batch_id", F.col("__t").alias("type"), F.col("__v").alias("value")).agg(first).select(
-        "batch_id", "type", "value", *[F.col(f"__first.{c}").alias(c) for c in order],
-        F.col("__first.filename").alias("filename"))
+    slim = rows.select("batch_id", F.col("__t").alias("type"), F.col("__v").alias("value"), *order, "filename")
+    by = {"__b": F.col("batch_id"), "__t": F.col("type"), "__v": F.col("value")}
+    return first_of_group(slim, by, list(order), {})
 
 
 def export_metadata(exported: DataFrame) -> DataFrame:

@@ -7,11 +7,18 @@ before they are shuffled.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.catalogs import GENERIC, LABELS, TYPE_ALIASES
 from ..functions.checks import digits, strip
+from ..functions.folds import first_of_runs
+from ..functions.many import FEW
 
 ROW = "hit_no"  # position of a hit in its document
 
@@ -144,16 +151,37 @@ def min_confidence(hits: DataFrame, threshold: float = 0.7) -> DataFrame:
     return hits.filter(F.coalesce(F.col("confidence"), F.lit(0.0)) >= threshold)
 
 
-def _first_of_group(hits: DataFrame, group: dict, order: list[str], counts: dict) -> DataFrame:
+def _place(hits: DataFrame, order: list[str]) -> Column | None:
+    """The place of a row as one number of fixed width, if ``order`` is one or two whole numbers."""
+    if len(order) > 2 or not all(isinstance(hits.schema[c].dataType, T.IntegralType) for c in order):
+        return None
+    if len(order) == 1:
+        return F.col(order[0])
+    high, low = (F.col(c).cast("decimal(19,0)") for c in order)
+    return high * F.lit(str(2 ** 64)).cast("decimal(20,0)") + low
+
+
+def first_of_group(hits: DataFrame, group: dict, order: list[str], counts: dict) -> DataFrame:
     """First row of each group in the given order, plus per-group aggregates.
 
-    A ``min_by`` keeps one row per group on the map side already.
+    A place of fixed width is aggregated by hash, with partial sums on the map side; its row is then fetched by group
+    and place, which spreads a hot group over all tasks.  ``order`` tells the rows of a group apart.
     """
-    cols = hits.columns
-    keyed = hits.withColumns(group)
-    first = F.min_by(F.struct(*cols), F.struct(*order)).alias("__first")
-    out = keyed.groupBy(*group).agg(first, *[c.alias(n) for n, c in counts.items()])
-    return out.select("__first.*", *counts)
+    keyed, keys, place = hits.withColumns(group), list(group), _place(hits, order)
+    if place is None:
+        first = F.min_by(F.struct(*hits.columns), F.struct(*order)).alias("__first")
+        return keyed.groupBy(*keys).agg(first, *[c.alias(n) for n, c in counts.items()]).select("__first.*", *counts)
+    keyed = keyed.withColumn("__p", place)
+    firsts = keyed.groupBy(*keys).agg(F.min("__p").alias("__at"), *[c.alias(n) for n, c in counts.items()])
+    found = _fetched(keyed.drop(*counts), firsts, [*keys, "__p"], [*keys, "__at"])
+    return found.select(*[c for c in hits.columns if c not in counts], *counts)
+
+
+def _fetched(rows: DataFrame, found: DataFrame, by: list[str], theirs: list[str]) -> DataFrame:
+    """``rows`` whose columns ``by`` equal ``theirs`` of ``found`` (nulls are equal), with the other columns of ``found``."""
+    named = found.select(*[F.col(c).alias(f"__f{i}") for i, c in enumerate(theirs)], *[c for c in found.columns if c not in theirs])
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"__f{i}")) for i, c in enumerate(by)])
+    return rows.join(named, same).drop(*[f"__f{i}" for i in range(len(by))])
 
 
 def dedupe_exact(hits: DataFrame, doc=("doc_id",), order=(ROW,), with_instances=False) -> DataFrame:
@@ -171,7 +199,7 @@ def dedupe_exact(hits: DataFrame, doc=("doc_id",), order=(ROW,), with_instances=
         if "bbox" in hits.columns:
             boxed = F.when(F.col("bbox").isNotNull(), F.struct(*order, F.col("bbox").alias("bbox")))
             counts["all_bboxes"] = F.transform(F.array_sort(F.collect_list(boxed)), lambda r: r["bbox"])
-    return _first_of_group(hits, group, list(order), counts)
+    return first_of_group(hits, group, list(order), counts)
 
 
 def instances_of(hits: DataFrame, display: DataFrame, doc=("doc_id",)) -> DataFrame:
@@ -186,44 +214,78 @@ def dedupe_display(hits: DataFrame, doc=("doc_id",), order=(ROW,)) -> DataFrame:
     """First hit of each (upper-case type, normalized value) with its count."""
     group = {f"__k{i}": F.col(c) for i, c in enumerate(doc)}
     group |= {"__t": F.upper("type"), "__v": normalize_value(F.col("value"), F.col("type"))}
-    return _first_of_group(hits, group, list(order), {
+    return first_of_group(hits, group, list(order), {
         "occurrence_count": F.count("*"), "is_deduplicated": F.count("*") > 1})
 
 
+def _holders():
+    """Column function (values, weakest first): for each the number of the strongest that it lies inside, or null."""
+    # self-contained: workers need not have this package
+    @F.pandas_udf("array<int>")
+    def run(groups: pd.Series) -> pd.Series:
+        import ahocorasick
+
+        def one(values):
+            if values is None:
+                return None
+            last = {v: i for i, v in enumerate(values)}
+            machine, held = ahocorasick.Automaton(), {}
+            for v in last:
+                if v:
+                    machine.add_word(v, v)
+            if len(machine):
+                machine.make_automaton()
+            for v, i in last.items():
+                if v:
+                    for _, inner in machine.iter(v):
+                        if len(inner) < len(v):
+                            held[inner] = max(held.get(inner, -1), i)
+            if "" in last and len(last) > 1:
+                held[""] = max(i for v, i in last.items() if v)
+            return [held.get(v) for v in values]
+
+        return pd.Series([one(g) for g in groups], dtype=object)
+
+    return run
+
+
 def drop_substrings(hits: DataFrame, doc=("doc_id",), order=ROW) -> DataFrame:
     """Drop hits whose value lies inside a stronger hit of the same type.
 
-    Stronger means more confident, then longer, then earlier.  Instead of
-    comparing all pairs of a group, every value is cut into substrings of just
-    those lengths that occur in its group, and an equality join finds the
-    contained ones: work grows with the text of the values, not their square.
+    Stronger means more confident, then longer, then earlier.  The distinct values of a document and type, which that
+    document bounds, meet in one row: a few are compared there, more go once through an automaton of all of them, in
+    time of their total length.  What comes back are only the values that lie in others, with their strongest holder.
     """
-    doc = list(doc)
+    doc, order = list(doc), order if isinstance(order, str) else order[0]
     base = hits.withColumns({
-        "__t": F.upper("type"),
-        "__n": normalize_value(F.col("value"), F.col("type")),
-        "__r": F.struct(F.coalesce("confidence", F.lit(0.0)).alias("c"), F.length("value").alias("l"),
-                        (-F.col(order)).alias("o")),
-    })
+        "__t": F.upper("type"), "__n": normalize_value(F.col("value"), F.col("type")),
+        "__c": F.coalesce("confidence", F.lit(0.0)), "__l": F.length("value")})
     group = [*doc, "__t"]
-    # strongest holder of each distinct value is enough to decide
-    values = base.groupBy(*group, "__n").agg(F.max("__r").alias("__r"))
-    lengths = values.groupBy(*group).agg(F.collect_set(F.length("__n")).alias("__ls"))
-    # length 0 included: an empty value lies inside any other
-    longer = F.filter("__ls", lambda x: x < F.length("__n"))
-    cuts = F.flatten(F.transform(longer, lambda n: F.transform(
-        F.sequence(F.lit(1), F.length("__n") - n + 1), lambda i: F.substring(F.col("__n"), i, n))))
-    inside = (
-        values.join(lengths, group)
-        .filter(F.size(longer) > 0)
-        .select(*group, "__r", F.explode(F.array_distinct(cuts)).alias("__n"))
-        .groupBy(*group, "__n").agg(F.max("__r").alias("__in"))
-    )
-    return (
-        base.join(inside, [*group, "__n"], "left")
-        .filter(F.col("__in").isNull() | (F.col("__in") < F.col("__r")))
-        .select(*hits.columns)
-    )
+    values = base.groupBy(*group, "__n", "__c", "__l").agg(F.min(order).alias("__o"))
+    rank = F.struct(F.col("__c").alias("c"), F.col("__l").alias("l"), (-F.col("__o")).alias("o"))
+    several = values.groupBy(*group).agg(
+        F.array_sort(F.collect_list(F.struct(rank.alias("r"), F.col("__n").alias("n")))).alias("__vs"),
+        F.min(F.length("__n")).alias("__short"), F.max(F.length("__n")).alias("__long"))
+    several = several.filter("__short < __long").drop("__short", "__long")
+    many = F.size("__vs") > FEW
+
+    def holder(v):
+        longer = F.filter("__vs", lambda w: (F.length(w["n"]) > F.length(v["n"])) & F.contains(w["n"], v["n"]))
+        return F.get(longer, F.size(longer) - 1)["r"]
+
+    at = _holders()(F.transform(F.when(many, F.col("__vs")), lambda v: v["n"]))
+    several = several.withColumn("__at", at)
+    held = F.when(many, F.transform("__vs", lambda v, i: F.struct(v["n"].alias("n"), F.get("__vs", F.get("__at", i))["r"].alias("r")))).otherwise(
+        F.transform("__vs", lambda v: F.struct(v["n"].alias("n"), holder(v).alias("r"))))
+    inside = F.array_sort(F.filter(held, lambda h: h["r"].isNotNull()))
+    # a value that stands at several ranks has one holder, the same each time
+    once = first_of_runs(inside, lambda a, b: a["n"] == b["n"])
+    # through a generator that keeps empty rows, so that no test of size runs all this a second time
+    inner = several.select(*group, F.explode_outer(once).alias("h")).filter("h IS NOT NULL")
+    inner = inner.select(*group, F.col("h.n").alias("__n"), F.col("h.r").alias("__in"))
+    own = F.struct(F.col("__c").alias("c"), F.col("__l").alias("l"), (-F.col(order)).alias("o"))
+    return base.join(inner, [*group, "__n"], "left").filter(
+        F.col("__in").isNull() | (F.col("__in") < own)).select(*hits.columns)
 
 
 def smart_dedupe(hits: DataFrame, threshold=0.7, substrings=True, doc=("doc_id",), order=ROW):

@@ -316,5 +316,5 @@ def detect_by_category(df, category: str, **kw):
 
 
 def detect_custom(df, patterns, **kw):
-    """Base detection with the caller's own (type, regex, confidence) patterns."""
-    return detect(df, "base", catalog=cat.user_catalog(patterns), **kw)
+    """Base detection with the caller's own patterns (``catalogs.user_catalog``), each tried out before any text is read."""
+    return detect(df, "base", catalog=cat.user_catalog(patterns, df.sparkSession._jvm), **kw)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .replay import SLICE_ROWS, replay
+from .admission import admit
 from .running import running_totals
 
 # Cost of each metered action.
@@ -13,6 +13,7 @@ ACTION_PRICES = [
     ("lock_json", 50), ("unlock_json", 50), ("download_masked_file", 5),
     ("scan_file", 2), ("create_batch", 5), ("generate_report", 100),
 ]
+# Price of an added token, and all formats of a plan without a list.
 ADDON_PRICE_INR = 1
 # Plans.  (id, name, monthly price, yearly price, monthly tokens, features)
 PLANS = [
@@ -82,25 +83,14 @@ def running_balance(ledger: DataFrame, user="user_id", at="created_at", order=("
 
 
 def admit_debits(events: DataFrame, user="user_id", at="ts", order="event_id",
-                 unlimited="unlimited", start="start_balance", slice_rows=SLICE_ROWS) -> DataFrame:
+                 unlimited="unlimited", start="start_balance", ranges: int | None = None) -> DataFrame:
     """Which debits pass: only those the balance covers; a refused one changes nothing.
 
     ``amount`` > 0 is a debit, < 0 a credit, 0 a debit of nothing that passes.
-    Unlimited users always pass and have no balance.
+    Unlimited users always pass and have no balance.  A user of any number of
+    events is spread over ``ranges`` tasks (``admission``).
     """
-    keys = [user, unlimited, start]
-    zero = F.col(start).cast("bigint")
-
-    def step(balance, r):
-        amount = r["amount"].cast("bigint")
-        ok = F.col(unlimited) | (amount <= 0) | (balance >= amount)
-        after = F.when(F.col(unlimited) | ~ok, balance).otherwise(balance - amount)
-        shown = F.when(F.col(unlimited), F.lit(None).cast("bigint")).otherwise(after)
-        return F.struct(after.alias("s"), F.struct(ok.alias("admitted"), shown.alias("balance_after")).alias("e"))
-
-    out = replay(events, keys, at, [at, order], zero, step, "bigint",
-                 "struct<admitted:boolean,balance_after:bigint>", slice_rows)
-    return out.select("*", "report.*").drop("report")
+    return admit(events, [user, unlimited, start], [at, order], start, F.coalesce(F.col(unlimited), F.lit(False)), ranges)
 
 
 def usage_after(admitted: DataFrame, user="user_id") -> DataFrame:
@@ -213,6 +203,26 @@ def feature_access(users: DataFrame, now: Column) -> DataFrame:
         F.when(F.array_contains("file_formats", "all"), every).otherwise(F.col("file_formats")).alias("formats"))
 
 
+# Actions that only some plans may use, and those plans.
+GATED_ACTIONS = ["lock_json", "unlock_json"]
+GATED_PLANS = ["professional", "enterprise"]
+
+
+def lock_gate(requests: DataFrame, users: DataFrame) -> DataFrame:
+    """Requests (email, action, ...) with ``error`` and ``message``, null where the action may go on.
+
+    Locking and unlocking need a known user on a plan that has them; no other action is held up here.
+    """
+    plan = F.lower(F.coalesce("plan_id", F.lit("starter")))
+    known = users.select(F.lower(F.trim("email")).alias("__who"), plan.alias("__plan")).dropDuplicates(["__who"])
+    asked = requests.withColumn("__who", F.lower(F.trim("email")))
+    gated = F.col("action").isin(GATED_ACTIONS)
+    rows = asked.join(known, "__who", "left")
+    error = F.when(gated & F.col("__plan").isNull(), "USER_NOT_FOUND").when(gated & ~F.col("__plan").isin(GATED_PLANS), "PLAN_RESTRICTION")
+    text = F.concat(F.initcap(F.replace("action", F.lit("_"), F.lit(" "))), F.lit(" is only available on Professional and Enterprise plans."))
+    return rows.withColumn("error", error).withColumn("message", F.when(F.col("error") == "PLAN_RESTRICTION", text)).drop("__who", "__plan")
+
+
 def merge_features(users: DataFrame) -> DataFrame:
     """Plan defaults under the user's own flags; ``updated`` tells what changed."""
     rows = _with_plan(users)

@@ -2,24 +2,43 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.folds import let
+from .ordered import RANGE, TIE, into_ranges
 from .replay import SLICE_ROWS, replay
 
 
-def cut_at_gaps(events: DataFrame, keys, ts: str, order: str, window: float, out="__segment") -> DataFrame:
-    """Number the stretches of a key's requests between pauses of a whole window or more.
+def cut_at_gaps(events: DataFrame, keys, ts: str, order: str, window: float, out="__segment", ranges: int | None = None) -> DataFrame:
+    """Name the stretches of a key's requests between pauses of a whole window or more, by the time at which they begin.
 
     After such a pause nothing admitted before still counts and a counter's window has passed, so stretches are
-    independent of one another and a busy key becomes many groups.
+    independent of one another and a busy key becomes many groups.  The rows are dealt by ranges of (key, time), so no
+    task sees all of a key: what a range inherits is the last stretch begun before it, one row for each range at most.
     """
-    line = Window.partitionBy(*keys).orderBy(ts, order)
+    keys, limit = list(keys), F.lit(int(window * 1_000_000))
     at = F.unix_micros(F.col(ts).cast("timestamp"))
-    pause = F.coalesce(at - F.lag(at).over(line) >= F.lit(int(window * 1_000_000)), F.lit(False))
-    marked = events.withColumn("__pause", pause.cast("bigint"))
-    return marked.withColumn(out, F.sum("__pause").over(line.rowsBetween(Window.unboundedPreceding, 0))).drop("__pause")
+    rows = into_ranges(events.withColumn("__at", at), [*keys, ts, order], ranges)
+    inside = Window.partitionBy(RANGE, *keys).orderBy(ts, order, TIE)
+    began = F.when(F.col("__at") - F.lag("__at").over(inside) >= limit, F.col("__at"))
+    rows = rows.withColumn("__began", began)
+    facts = rows.groupBy(RANGE, *keys).agg(F.min("__at").alias("__first"), F.max("__at").alias("__last"), F.max("__began").alias("__start"))
+    line = Window.partitionBy(*keys).orderBy(RANGE)
+    before = line.rowsBetween(Window.unboundedPreceding, -1)
+    jump = F.col("__first") - F.max("__last").over(before) >= limit
+    facts = facts.withColumn("__jump", F.when(jump, F.col("__first")))
+    facts = facts.withColumn("__entry", F.coalesce("__jump", F.max(F.coalesce("__start", "__jump")).over(before)))
+    inherited = facts.filter("__entry IS NOT NULL").select(
+        F.col(RANGE).alias("__r"), *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__entry")
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)], F.col(RANGE) == F.col("__r"))
+    placed = rows.join(F.broadcast(inherited), same, "left")
+    whole = Window.partitionBy(RANGE, *keys).orderBy(ts, order, TIE).rowsBetween(Window.unboundedPreceding, 0)
+    start = F.coalesce(F.max("__began").over(whole), F.col("__entry"), F.lit(-(2 ** 62)))
+    return placed.withColumn(out, start).select(*events.columns, out)
 
 
 def rate_limit(events: DataFrame, most: int, window: float, keys=("endpoint", "client"), ts="ts",

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.checks import strip
+from ..functions.folds import first_of_runs, ordered_fold
+from ..functions.many import FEW, blank_many, mask_many
 from .detect import ADDERS
 
 BLOCK = "█"
@@ -37,12 +39,18 @@ def variations(value: Column, normalized: Column, type_: Column) -> Column:
 
 
 def replacements(hits: Column) -> Column:
-    """Sorted array<struct<neg,value,caseless>> of what to replace, longest first."""
+    """Sorted array<struct<neg,value,caseless>> of what to replace, longest first.
+
+    A caseless value stands once, in lower case, since it is looked for in any case.
+    """
+    def item(v, caseless):
+        low = F.lower(v)
+        return F.struct((-F.length(v)).alias("neg"), F.when(caseless & (F.length(low) == F.length(v)), low).otherwise(v).alias("value"),
+                        caseless.alias("caseless"))
+
     each = F.flatten(F.transform(hits, lambda h: F.transform(
-        variations(h["value"], h["normalized"], h["type"]),
-        lambda v: F.struct((-F.length(v)).alias("neg"), v.alias("value"),
-                           F.upper(h["type"]).isin(CASELESS).alias("caseless")))))
-    return F.array_sort(F.array_distinct(each))
+        variations(h["value"], h["normalized"], h["type"]), lambda v: item(v, F.upper(h["type"]).isin(CASELESS)))))
+    return first_of_runs(F.array_sort(each), lambda a, b: a == b)
 
 
 def quoted(v: Column) -> Column:
@@ -51,65 +59,98 @@ def quoted(v: Column) -> Column:
 
 
 def replace_one(t: Column, r: Column, new: Column) -> Column:
-    """Replace one item's value where it occurs, any case for caseless items."""
-    swapped = F.when(r["caseless"], F.regexp_replace(t, F.concat(F.lit("(?iu)"), quoted(r["value"])), new)).otherwise(
+    """Replace one item's value where it occurs, in any case for caseless items."""
+    return F.when(r["caseless"], F.regexp_replace(t, F.concat(F.lit("(?iu)"), quoted(r["value"])), new)).otherwise(
         F.replace(t, r["value"], new))
-    return F.when(F.contains(t, r["value"]), swapped).otherwise(t)
 
 
-def replace_all(text: Column, items: Column, new_value) -> Column:
-    """Replace every item's value in the text, in array order."""
-    return F.aggregate(items, text, lambda t, r: replace_one(t, r, new_value(r)))
+def strings_of(items: Column, caseless: bool) -> Column:
+    return F.transform(F.filter(items, lambda r: r["caseless"] == F.lit(caseless)), lambda r: r["value"])
 
 
-def masked_text(text: Column, hits: Column) -> Column:
-    """The text with all hits replaced by blocks of the same length."""
-    return replace_all(text, replacements(hits), lambda r: F.repeat(F.lit(BLOCK), F.length(r["value"])))
+def blanked(text: Column, items: Column) -> Column:
+    """The text with every item's value replaced by blocks of the same length, longest first.
+
+    A few items are replaced one after the other. More would cost a copy of the text each, so they are found in one pass
+    and blanked in the same order; both give the same text. ``items`` should be a column, since it is used several times.
+    """
+    block = lambda r: F.repeat(F.lit(BLOCK), F.length(r["value"]))
+    few = F.aggregate(items, text, lambda t, r: replace_one(t, r, block(r)))
+    many = F.size(items) > FEW
+    whole = mask_many(BLOCK)(F.when(many, text), strings_of(F.when(many, items), False), strings_of(F.when(many, items), True))
+    return F.when(many, whole).when(F.size(items) > 0, few).otherwise(text)
 
 
-def hits_per_unit(hits: DataFrame, key: list[str], order=("hit_no",)) -> DataFrame:
-    """One array of hits per document (or page): bounded by that document."""
-    packed = F.struct(*order, "type", "value", "normalized")
-    return hits.groupBy(*key).agg(F.array_sort(F.collect_list(packed)).alias("__hits"))
+def spelled_hits(hits: DataFrame, key: list[str]) -> DataFrame:
+    """The different hits of each document (or page), in one array: bounded by that document."""
+    return hits.groupBy(*key).agg(F.collect_set(F.struct("type", "value", "normalized")).alias("__hits"))
 
 
-def mask_text(docs: DataFrame, hits: DataFrame, key=("doc_id",), text="text", order=("hit_no",)) -> DataFrame:
+def _with_masked(rows: DataFrame, text: str, hits: str) -> DataFrame:
+    items = rows.withColumn("__items", F.coalesce(replacements(F.col(hits)), F.array().cast("array<struct<neg:int,value:string,caseless:boolean>>")))
+    return items.withColumn(text, blanked(F.col(text), F.col("__items"))).drop("__items", hits)
+
+
+def mask_text(docs: DataFrame, hits: DataFrame, key=("doc_id",), text="text") -> DataFrame:
     """Documents with stored hits blanked out; those without hits pass unchanged."""
-    joined = docs.join(hits_per_unit(hits, list(key), order), list(key), "left")
-    new = F.when(F.col("__hits").isNull(), F.col(text)).otherwise(masked_text(F.col(text), F.col("__hits")))
-    return joined.withColumn(text, new).drop("__hits")
+    joined = docs.join(spelled_hits(hits, list(key)), list(key), "left")
+    return _with_masked(joined, text, "__hits").select(docs.columns)
 
 
-def mask_elements(elements: DataFrame, hits: DataFrame, order=("hit_no",)) -> DataFrame:
-    """Every paragraph, cell, header and footer of a document, longest value first."""
-    return mask_text(elements, hits, ("doc_id",), "text", order)
+#: Elements of one document that are masked as one text, and what stands between them there (a noncharacter).
+TOGETHER = 4096
+BETWEEN = "\ufdd2"
 
 
-def mask_pages(pages: DataFrame, hits: DataFrame, order=("hit_no",)) -> DataFrame:
+def mask_elements(elements: DataFrame, hits: DataFrame, place="element_no") -> DataFrame:
+    """Every paragraph, cell, header and footer of a document, longest value first.
+
+    Neighbouring elements are masked as one text, so a document's hits are joined and searched once for ``TOGETHER``
+    elements and not for each; a document of any number of elements makes that many groups.
+    """
+    rest = [c for c in elements.columns if c not in ("doc_id", "text")]
+    # an element that holds the mark between elements, or no text, stands alone
+    alone = F.coalesce(F.contains("text", F.lit(BETWEEN)), F.lit(True))
+    group = F.when(~alone, F.floor(F.col(place) / TOGETHER))
+    own = F.when(alone, F.xxhash64(*elements.columns))
+    packed = F.collect_list(F.struct(*rest, "text"))
+    groups = elements.groupBy("doc_id", group.alias("__group"), own.alias("__own"), alone.alias("__alone")).agg(packed.alias("__rows"))
+    texts = F.transform("__rows", lambda r: r["text"])
+    whole = groups.withColumn("text", F.when(~F.col("__alone"), F.array_join(texts, BETWEEN)).otherwise(F.get(texts, F.lit(0))))
+    masked = mask_text(whole, hits)
+    parts = F.when(F.col("__alone"), F.transform("__rows", lambda r: F.col("text"))).otherwise(F.split("text", BETWEEN, -1))
+    each = masked.withColumn("__parts", parts).select("doc_id", F.explode(F.arrays_zip("__rows", "__parts")).alias("__z"))
+    made = each.select("doc_id", *[F.col(f"__z.__rows.{c}").alias(c) for c in rest], F.col("__z.__parts").alias("text"))
+    return made.select(elements.columns)
+
+
+def mask_pages(pages: DataFrame, hits: DataFrame) -> DataFrame:
     """A page is masked with its own hits only."""
-    return mask_text(pages, hits, ("doc_id", "page"), "text", order)
+    return mask_text(pages, hits, ("doc_id", "page"), "text")
 
 
 def detect_and_mask(docs: DataFrame, kind="base", text="text", **options) -> DataFrame:
     """Detect and mask in one narrow pass: no join, no shuffle, text read once."""
     found = ADDERS[kind](docs, text=text, out="__found", **options)
-    return found.withColumn(text, masked_text(F.col(text), F.col("__found"))).drop("__found")
+    return _with_masked(found, text, "__found").select(docs.columns)
 
 
-def mask_spans(text: Column, hits: Column) -> Column:
-    """Exact variant: blank the hit spans by offset, overlaps merged."""
-    start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
+def mask_spans(docs: DataFrame, hits="hits", text="text") -> DataFrame:
+    """Exact variant: the spans of a document's hits (column ``hits``) blanked by offset, overlaps merged."""
+    spans = F.array_sort(F.transform(F.col(hits), lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"))))
+    rows = docs.withColumn("__spans", F.coalesce(spans, F.array().cast("array<struct<start:int,end:int>>")))
+    t = F.col(text)
 
-    def step(acc, h):
-        frm = F.greatest(acc["pos"], h["start"])
-        to = F.greatest(acc["pos"], h["end"])
-        return F.struct(to.alias("pos"), F.concat(
-            acc["out"], F.substring(text, acc["pos"] + 1, frm - acc["pos"]),
-            F.repeat(F.lit(BLOCK), to - frm)).alias("out"))
+    def step(pos, h):
+        start, end = F.greatest(pos, h["start"]), F.greatest(pos, h["end"])
+        return end, F.concat(F.substring(t, pos + 1, start - pos), F.repeat(F.lit(BLOCK), end - start))
 
-    spans = F.array_sort(F.transform(hits, lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"))))
-    return F.aggregate(spans, start, step, lambda a: F.concat(
-        a["out"], F.substring(text, a["pos"] + 1, F.length(text))))
+    few = F.concat(F.array_join(ordered_fold(F.col("__spans"), F.lit(0), step, "string"), ""),
+                   F.substring(t, F.array_max(F.transform("__spans", lambda s: s["end"])) + 1, F.length(t)))
+    many = F.size("__spans") > FEW
+    ends = lambda n: F.transform(F.when(many, F.col("__spans")), lambda s: s[n])
+    whole = blank_many(BLOCK)(F.when(many, t), ends("start"), ends("end"))
+    return rows.withColumn(text, F.when(many, whole).when(F.size("__spans") > 0, few).otherwise(t)).drop("__spans")
 
 
 def partial_mask(type_: Column, value: Column, masked: Column) -> Column:

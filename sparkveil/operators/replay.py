@@ -40,6 +40,12 @@ def _fold(rows: DataFrame, keys, order, state0: Column, step, state_type, report
     return groups.select(*keys, F.explode_outer(ordered_fold(F.col("__rows"), start, wrapped, emit)).alias("e"))
 
 
+def fold_groups(rows: DataFrame, keys, order, state0: Column, step, state_type, report_type) -> DataFrame:
+    """``rows`` with ``report``, each group of ``keys`` folded on its own from ``__state``, or ``state0`` where that is null."""
+    folded = _fold(rows, list(keys), order, state0, step, state_type, report_type)
+    return folded.select(*keys, "e.row.*", F.col("e.report").alias("report"))
+
+
 def _join_same(left: DataFrame, right: DataFrame, keys, how: str) -> DataFrame:
     """Join on ``keys`` where nulls are equal, keeping the left side's keys."""
     named = right.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys])

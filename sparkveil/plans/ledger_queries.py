@@ -99,6 +99,28 @@ def assign_plan(spark, sf):
         "email", "plan_id", "tokens_used", "tokens_balance", "token_period")
 
 
+@query("allocation_entries", f"""WITH u AS ({C.USERS}), r AS (SELECT email, ['professional', 'starter', 'enterprise', 'nonsense'][(length(email) // 2) % 4 + 1] AS new_plan
+  FROM u WHERE length(email) % 2 = 0), c AS (SELECT r.email, p.* FROM r JOIN {PLAN_T} ON r.new_plan = p.plan_id)
+ SELECT u.email AS user_id, 'credit' AS type, coalesce(c.monthly_tokens, u.tokens_balance)::BIGINT AS amount, coalesce(c.plan_id, u.plan_id) AS plan_id, TIMESTAMP '{NOW}' AS created_at
+ FROM u LEFT JOIN c USING (email) WHERE CASE WHEN c.email IS NULL THEN u.tokens_balance ELSE c.monthly_tokens END IS NOT NULL""")
+def allocation_entries(spark, sf):
+    assigned = L.assign_plan(C.users(spark, sf), _plan_requests(spark, sf), "2024-02")
+    return L.allocation_entries(assigned, now()).select(
+        "user_id", "type", "amount", F.col("metadata")["plan_id"].alias("plan_id"), "created_at")
+
+
+@query("lock_gate", f"""WITH a AS (SELECT event_id, action, CASE WHEN user_id % 3 = 0 THEN concat(' User', user_id, '@Example.com ') WHEN user_id % 3 = 1 THEN concat('member', user_id, '@example.com')
+  ELSE concat('nobody', user_id) END AS email FROM ({C.ACTIONS})), u AS ({C.USERS})
+ SELECT a.event_id, CASE WHEN a.action <> 'lock_json' THEN NULL WHEN u.email IS NULL THEN 'USER_NOT_FOUND' WHEN u.plan_id = 'starter' THEN 'PLAN_RESTRICTION' END AS error,
+ CASE WHEN a.action = 'lock_json' AND u.plan_id = 'starter' THEN 'Lock Json is only available on Professional and Enterprise plans.' END AS message
+ FROM a LEFT JOIN u ON u.email = lower(trim(a.email))""")
+def lock_gate(spark, sf):
+    k = F.col("user_id")
+    email = F.when(k % 3 == 0, C.cat(" User", k, "@Example.com ")).when(k % 3 == 1, C.cat("member", k, "@example.com")).otherwise(C.cat("nobody", k))
+    asked = C.actions(spark, sf).withColumn("email", email)
+    return L.lock_gate(asked, C.users(spark, sf)).select("event_id", "error", "message")
+
+
 @query("token_summary", f"""SELECT email, u.plan_id, plan_name, monthly_tokens, price_inr, tokens_total, tokens_used,
  CASE WHEN monthly_tokens IS NULL THEN 'unlimited' ELSE coalesce(tokens_balance, 0)::VARCHAR END AS tokens_balance FROM ({C.USERS}) u JOIN {PLAN_T} ON u.plan_id = p.plan_id""")
 def token_summary(spark, sf):
@@ -249,6 +271,16 @@ def erase_user(spark, sf):
     return out
 
 
+@query("merge_tombstones", f"""SELECT email, CASE WHEN length(email) % 2 = 0 THEN 'later' ELSE 'first' END AS reason,
+ TIMESTAMP '{NOW}' + CASE WHEN length(email) % 2 = 0 THEN INTERVAL 1 DAY ELSE INTERVAL 0 DAY END AS deleted_at FROM ({C.USERS}) WHERE length(email) % 3 < 2""")
+def merge_tombstones(spark, sf):
+    n = F.length("email")
+    stones = lambda rows, reason, at: rows.select("email", "full_name", "username", F.lit(reason).alias("reason"), at.alias("deleted_at"))
+    gone = C.users(spark, sf).filter(n % 3 < 2)
+    later = stones(gone.filter(n % 2 == 0), "later", now() + F.expr("INTERVAL '1' DAY"))
+    return U.merge_tombstones(stones(gone, "first", now()), later).select("email", "reason", "deleted_at")
+
+
 @query("profile_flags", f"""SELECT email, email <> '' AND coalesce(email_verified, true) AS mail_verified, full_name <> '' AND email <> '' AND country <> '' AS profile_complete,
  coalesce(enable_2fa, false) OR coalesce(two_factor_enabled, false) AS two_factor FROM ({C.USERS})""")
 def profile_flags(spark, sf):

@@ -72,7 +72,7 @@ def mask_stored_hits(spark, sf):
  {{'s': 0, 'e': 0, 't': concat(substr(a.t, 1, b.s), repeat('█', b.e - b.s), substr(a.t, b.e + 1))}}).t) AS digest FROM ({C.CARDS}) c JOIN h USING (doc_id)""")
 def mask_spans(spark, sf):
     found = D.add_base_hits(C.cards(spark, sf))
-    return found.select("doc_id", F.md5(M.mask_spans(F.col("text"), F.col("hits"))).alias("digest"))
+    return M.mask_spans(found).select("doc_id", F.md5("text").alias("digest"))
 
 
 @query("mask_elements", f"""SELECT doc_id, element_no, md5(replace(text, concat('9', lpad(doc_id::VARCHAR, 9, '0')), repeat('█', 10))) AS digest FROM ({C.ELEMENTS})""")

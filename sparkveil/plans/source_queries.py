@@ -6,12 +6,14 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..operators import analytics as A
 from ..operators import process as P
 from ..sources import files as R
 from ..sources import sinks as W
-from ..sources.scratch import scratch_path
+from ..sources.scratch import scratch_path, written
 from . import corpora as C
 from . import sqlgen as S
+from .analytics_queries import EXPORT
 from .detection_queries import DOCS
 from .registry import query
 
@@ -107,13 +109,13 @@ def assemble_blocks(spark, sf):
     return R.assemble_blocks(C.blocks(spark, sf))
 
 
-@query("prefer_fallback_blocks", f"""WITH b AS ({C.BLOCKS}), a AS (SELECT doc_id, line_number, CASE WHEN line_number % 2 = 0 THEN concat(text, '!') ELSE 'x' END AS alt FROM b WHERE line_number < 4)
+@query("prefer_fallback_blocks", f"""WITH b AS ({C.BLOCKS}), a AS (SELECT doc_id, line_number, CASE WHEN line_number % 2 = 0 THEN concat(text, '!') ELSE 'x' END AS alt FROM b)
  SELECT b.doc_id, b.line_number, CASE WHEN b.confidence < 0.65 AND length(a.alt) > length(b.text) THEN a.alt ELSE b.text END AS text,
  CASE WHEN b.confidence < 0.65 AND length(a.alt) > length(b.text) THEN 0.75 ELSE b.confidence END AS confidence
  FROM b LEFT JOIN a USING (doc_id, line_number)""")
 def prefer_fallback_blocks(spark, sf):
     b = C.blocks(spark, sf)
-    alt = b.filter("line_number < 4").select("doc_id", "line_number", F.when(
+    alt = b.select("doc_id", "line_number", F.when(
         F.col("line_number") % 2 == 0, F.concat("text", F.lit("!"))).otherwise("x").alias("text"))
     return R.prefer_fallback_blocks(b, alt).select("doc_id", "line_number", "text", "confidence")
 
@@ -139,9 +141,13 @@ def _named(spark, sf):
  SELECT d.source AS batch_id, count(*) AS files, count(*) AS pages_processed, coalesce(sum(n.n), 0)::BIGINT AS piis, coalesce(any_value(t.types), 0) AS pii_types,
  2 * count(*) AS debit FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN t USING (source) WHERE length(trim(d.text)) > 0 GROUP BY 1""")
 def process_batch(spark, sf):
-    docs = _named(spark, sf)
+    docs, path = _named(spark, sf), scratch_path(spark, f"hits-{uuid.uuid4().hex}")
     none = docs.select("batch_id", "filename").limit(0)
-    _, totals, debits = P.process_batch(docs, none, scratch_path(spark, f"hits-{uuid.uuid4().hex}"))
+    entries, totals, debits = P.process_batch(docs, none, path)
+    # a second run over the same documents knows the entries of the first and adds nothing
+    seen = written(entries.select("batch_id", "filename"), "entries")
+    _, more, later = P.process_batch(docs, seen, path)
+    totals, debits = totals.unionByName(more), debits.unionByName(later)
     return totals.join(debits, "batch_id").select("batch_id", "files", "pages_processed", "piis", "pii_types", "debit")
 
 
@@ -151,23 +157,69 @@ def _written(spark, write, rows, reader="parquet"):
     return spark.read.format(reader).schema(rows.schema).load(path)
 
 
-SINK_SQL = "SELECT source AS batch_id, count(*) AS docs, sum(length(text))::BIGINT AS chars FROM documents GROUP BY 1"
+# the first 15 hexadecimal digits of a digest as a number, added up: any change of any text shows
+def _digest(c):
+    return F.sum(F.conv(F.substring(F.md5(c), 1, 15), 16, 10).cast("decimal(20,0)")).cast("decimal(38,0)").alias("digest")
+
+
+SQL_DIGEST = "sum(('0x' || substr(md5({}), 1, 15))::BIGINT)::DECIMAL(38,0) AS digest"
+SINK_SQL = f"SELECT source AS batch_id, count(*) AS docs, {SQL_DIGEST.format('text')} FROM documents GROUP BY 1"
 
 
 @query("write_masked", SINK_SQL)
 def write_masked(spark, sf):
-    return _written(spark, W.write_masked, _named(spark, sf)).groupBy("batch_id").agg(
-        F.count("*").alias("docs"), F.sum(F.length("text")).alias("chars"))
+    return _written(spark, W.write_masked, _named(spark, sf)).groupBy("batch_id").agg(F.count("*").alias("docs"), _digest("text"))
 
 
 @query("write_masked_json", SINK_SQL)
 def write_masked_json(spark, sf):
     rows = _named(spark, sf).select("batch_id", "doc_id", "text")
-    return _written(spark, W.write_masked_json, rows, "json").groupBy("batch_id").agg(
-        F.count("*").alias("docs"), F.sum(F.length("text")).alias("chars"))
+    return _written(spark, W.write_masked_json, rows, "json").groupBy("batch_id").agg(F.count("*").alias("docs"), _digest("text"))
 
 
-@query("write_detections", f"SELECT batch_id, type, count(*) AS hits FROM ({C.HITS}) GROUP BY 1, 2")
+@query("write_masked_lines", f"""WITH l AS (SELECT source AS batch_id, unnest(string_split(text, chr(10))) AS line FROM documents)
+ SELECT batch_id, count(*) AS lines, {SQL_DIGEST.format('line')} FROM l GROUP BY 1""")
+def write_masked_lines(spark, sf):
+    rows = _named(spark, sf).select("batch_id", "doc_id", "text")
+    path = scratch_path(spark, f"sink-{uuid.uuid4().hex}")
+    W.write_masked_lines(rows, path)
+    lines = spark.read.schema("value string, batch_id string").option("lineSep", "\n").text(path)
+    return lines.groupBy("batch_id").agg(F.count("*").alias("lines"), _digest("value"))
+
+
+@query("write_detections", f"SELECT batch_id, type, count(*) AS hits, {SQL_DIGEST.format('value')} FROM ({C.HITS}) GROUP BY 1, 2")
 def write_detections(spark, sf):
-    rows = C.hits(spark, sf).select("batch_id", "filename", "type", "value")
-    return _written(spark, W.write_detections, rows).groupBy("batch_id", "type").agg(F.count("*").alias("hits"))
+    rows, path = C.hits(spark, sf).select("batch_id", "filename", "type", "value"), scratch_path(spark, f"sink-{uuid.uuid4().hex}")
+    for _ in range(2):  # a run that is repeated is stored once
+        W.write_detections(rows, path, run="first")
+    return spark.read.schema(rows.schema).parquet(path).groupBy("batch_id", "type").agg(F.count("*").alias("hits"), _digest("value"))
+
+
+@query("write_sidecar", f"SELECT batch_id, count(*) AS tokens, {SQL_DIGEST.format('sha256(value)')} FROM ({C.HITS}) GROUP BY 1")
+def write_sidecar(spark, sf):
+    rows = C.hits(spark, sf).select("batch_id", F.sha2("value", 256).alias("token"), F.col("type").alias("pii_type"))
+    return _written(spark, W.write_sidecar, rows).groupBy("batch_id").agg(F.count("*").alias("tokens"), _digest("token"))
+
+
+@query("write_export", f"""SELECT batch_id, count(*) AS payloads, {SQL_DIGEST.format("concat('{\"type\":\"', type, '\",\"value\":\"', value, '\",\"filename\":\"', filename, '\"}')")}
+ FROM ({EXPORT}) GROUP BY 1""")
+def write_export(spark, sf):
+    rows = A.export_values(A.export_rows(C.hits(spark, sf)))
+    return _written(spark, W.write_export, rows, "json").groupBy("batch_id").agg(F.count("*").alias("payloads"), _digest("payload"))
+
+
+CARDS_IN_FILE = 500
+
+
+@query("scan_directory", f"""WITH RECURSIVE {S.label_ctes(f"SELECT doc_id // {CARDS_IN_FILE} AS doc_id, concat(string_agg(text, chr(10) ORDER BY doc_id), chr(10)) AS text FROM ({C.CARDS}) GROUP BY 1")}
+ SELECT doc_id AS part, type, count(*) AS hits, {SQL_DIGEST.format('value')}, any_value(n) AS files_found FROM kept,
+ (SELECT count(DISTINCT doc_id // {CARDS_IN_FILE}) AS n FROM ({C.CARDS})) GROUP BY 1, 2""")
+def scan_directory(spark, sf):
+    path, part = scratch_path(spark, f"files-{uuid.uuid4().hex}"), F.floor(F.col("doc_id") / CARDS_IN_FILE)
+    cards = C.cards(spark, sf).select("doc_id", part.alias("part"), F.col("text").alias("value"))
+    cards.repartition("part").sortWithinPartitions("part", "doc_id").drop("doc_id").write.partitionBy("part").text(path)
+    found, hits = R.scan_directory(spark, path, "*.txt")
+    of = F.regexp_extract("path", r"/part=(\d+)/", 1).cast("bigint")
+    rows = hits.groupBy(of.alias("part"), "type").agg(F.count("*").alias("hits"), _digest("value"), F.lit(1).alias("one"))
+    # one row
+    return rows.join(F.broadcast(found.withColumn("one", F.lit(1))), "one").drop("one")

@@ -11,6 +11,7 @@ from ..sources.scratch import scratch_path
 from ..streaming import streams as T
 from . import corpora as C
 from . import sqlgen as S
+from .analytics_queries import entries
 from .detection_queries import DOCS, HIT_COLS, HIT_SQL
 from .ledger_queries import DEBITS, HOUR, RATE
 from .registry import ORACLES, query
@@ -43,18 +44,41 @@ def stream_skip_seen(spark, sf):
     return _result(spark, T.stream_skip_seen(files), "seen").select("batch_id", "filename")
 
 
-@query("stream_batch_stats", """SELECT concat('B', l_suppkey) AS batch_id, count(*) AS files, sum(l_linenumber)::BIGINT AS piis,
- sum(l_linenumber + 1)::BIGINT AS pages_processed FROM lineitem GROUP BY 1""")
+@query("stream_batch_stats", f"""WITH h AS ({C.HITS}), f AS (SELECT batch_id, count(*) AS files, sum(page)::BIGINT AS pages_processed, max(processed_at)::TIMESTAMP AS processed_at FROM h GROUP BY 1),
+ t AS (SELECT batch_id, type, count(*) AS n FROM h GROUP BY 1, 2), b AS (SELECT batch_id, sum(n)::BIGINT AS piis, count(*) AS pii_types, string_agg(concat(type, '=', n), ';' ORDER BY type) AS breakdown FROM t GROUP BY 1)
+ SELECT f.batch_id, files, piis, pii_types, breakdown, pages_processed, files / 4 AS scan_duration, processed_at FROM f JOIN b USING (batch_id)""")
 def stream_batch_stats(spark, sf):
+    # every line item is a scanned page of one hit
     li = T.stream_parquet(spark, sf, "lineitem.parquet")
+    kind = C.pick(C.TYPES, (F.col("l_partkey") * 7 + F.col("l_linenumber")) % len(C.TYPES))
     files = li.select(
-        C.cat("B", F.col("l_suppkey")).alias("batch_id"), F.col("l_linenumber").alias("pii_count"),
-        (F.col("l_linenumber") + 1).alias("page_count"), F.col("l_shipdate").cast("timestamp").alias("processed_at"))
+        C.cat("B", F.col("l_suppkey")).alias("batch_id"), F.create_map(kind, F.lit(1).cast("bigint")).alias("breakdown"),
+        F.col("l_linenumber").alias("page_count"), F.lit(0.25).alias("processing_time"), F.col("l_shipdate").cast("timestamp").alias("processed_at"))
     path = _path(spark, "stats")
-    writer = T.stream_batch_stats(files).writeStream.outputMode("update").trigger(availableNow=True)
-    writer.option("checkpointLocation", f"{path}/ckpt").foreachBatch(
-        T.upsert_batches(f"{path}/data")).start().awaitTermination()
-    return T.latest_totals(spark, f"{path}/data").select("batch_id", "files", "piis", "pages_processed")
+    writer = T.stream_batch_stats(files, span="30 days").writeStream.outputMode("update").trigger(availableNow=True)
+    writer.option("checkpointLocation", f"{path}/ckpt").foreachBatch(T.upsert(f"{path}/data")).start().awaitTermination()
+    out = T.batch_totals(T.latest(spark, f"{path}/data"))
+    return out.select("batch_id", "files", "piis", "pii_types", entries(F.col("breakdown")).alias("breakdown"), "pages_processed",
+                      "scan_duration", F.col("processed_at").cast("timestamp_ntz").alias("processed_at"))
+
+
+PARTS = 4
+
+
+def _replayed(spark, events, name, jitter=3600):
+    """The events as files that arrive one part after the other, out of order by up to ``jitter`` seconds, then one
+    event of the far future, which lets the watermark pass all others."""
+    path = f"{_path(spark, name)}/in"
+    at = F.unix_seconds("ts") + F.pmod(F.hash("event_id"), F.lit(jitter))
+    first, last = events.agg(F.min(at), F.max(at)).first()
+    part = F.least(F.floor((at - (first or 0)) * PARTS / ((last or 0) - (first or 0) + 1)), F.lit(PARTS - 1))
+    files = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for i in range(PARTS):
+        events.filter(part == i).repartition(files).write.mode("append").parquet(path)
+    end = spark.range(1).select(*[
+        (F.to_timestamp(F.lit("9999-01-01")) if f.name == "ts" else F.lit(None)).cast(f.dataType).alias(f.name) for f in events.schema.fields])
+    end.write.mode("append").parquet(path)
+    return T.stream_parquet(spark, path, "*.parquet", files_per_trigger=files)
 
 
 def _copy(name, of):
@@ -63,10 +87,11 @@ def _copy(name, of):
 
 @query("stream_rate_limit")
 def stream_rate_limit(spark, sf):
-    e = T.stream_parquet(spark, sf, "events.parquet").select(
+    e = C.table(spark, sf, "events").select(
         "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("endpoint"),
         (F.col("user_id") % 4).alias("client"))
-    return _result(spark, T.stream_rate_limit(e, RATE, HOUR), "rate").select("event_id", "admitted")
+    late = _replayed(spark, e, "requests")
+    return _result(spark, T.stream_rate_limit(late, RATE, HOUR, delay="2 hours", bucket_ms=HOUR * 1000), "rate").select("event_id", "admitted")
 
 
 _copy("stream_rate_limit", "rate_limit")
@@ -79,7 +104,7 @@ _copy("stream_rate_limit", "rate_limit")
  FROM w JOIN d ON d.user_id = w.user_id AND d.rn = w.rn + 1)
  SELECT event_id, user_id, amount, admitted, balance_after FROM w WHERE rn > 0""")
 def stream_ledger(spark, sf):
-    e = T.stream_parquet(spark, sf, "events.parquet")
+    e = C.table(spark, sf, "events")
     kind = F.col("event_type")
     # the same prices as ``price_actions``, written as a column: streams keep no price table
     named = e.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", F.when(kind == "signup", "create_batch").when(
@@ -87,7 +112,8 @@ def stream_ledger(spark, sf):
     priced = L.price_actions(named)
     amount = F.when(F.col("action") == "create_batch", -100).otherwise(F.col("price"))
     debits = priced.select("event_id", "ts", "user_id", amount.cast("bigint").alias("amount"))
-    return _result(spark, T.stream_ledger(debits), "ledger").select("event_id", "user_id", "amount", "admitted", "balance_after")
+    late = _replayed(spark, debits, "debits")
+    return _result(spark, T.stream_ledger(late, delay="2 hours", bucket_ms=HOUR * 1000), "ledger").select("event_id", "user_id", "amount", "admitted", "balance_after")
 
 
 @query("stream_progress", """SELECT event_type, count(*) AS total, count(*) FILTER (WHERE value IS NOT NULL AND value >= 10) AS completed,

@@ -1,7 +1,9 @@
 """Writing results, laid out by batch.
 
-Rows are first dealt out by batch and a hash of ``doc_id``, so that a task holds few batches and a batch has a fixed
-number of files, however many tasks or documents there are; a large batch is spread over ``files`` tasks."""
+Rows are dealt out by batch through a rebalancing exchange: Spark measures what it wrote for each part, cuts a part that
+is too large and joins small ones, so that a batch gets files of about the size that the session advises
+(``spark.sql.adaptive.advisoryPartitionSizeInBytes``), be it a thousandth of the rows or nearly all of them.
+"""
 
 from __future__ import annotations
 
@@ -9,40 +11,53 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-FILES = 16
+#: Parts into which rows are dealt before they are joined or cut: many, so that few batches share one.
+PARTS = 512
 
 
-def by_batch(rows: DataFrame, files: int = FILES) -> DataFrame:
-    """Rows dealt out by batch and, where they name a document, by its hash."""
-    spread = [F.pmod(F.xxhash64("doc_id"), F.lit(files))] if "doc_id" in rows.columns else []
-    return rows.repartition("batch_id", *spread)
+def by_batch(rows: DataFrame) -> DataFrame:
+    """Rows dealt out by batch, large batches over several tasks by their measured size."""
+    return rows.hint("rebalance", PARTS, "batch_id")
 
 
-def write_detections(hits: DataFrame, path: str, mode="append") -> None:
+def _write(rows: DataFrame, path: str, kind: str, mode: str, run: str | None) -> None:
+    """Write below ``path``, in a folder for each batch.
+
+    With the name of a ``run`` the rows go to a folder of that run inside each batch, and a run that is repeated takes
+    the place of its first try instead of being appended to it.
+    """
+    if run is None:
+        rows.write.mode(mode).partitionBy("batch_id").format(kind).save(path)
+    else:
+        writer = rows.withColumn("run", F.lit(run)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("batch_id", "run").format(kind).save(path)
+
+
+def write_detections(hits: DataFrame, path: str, mode="append", run: str | None = None) -> None:
     """Stored hits, partitioned by batch for pruned reads."""
-    by_batch(hits).write.mode(mode).partitionBy("batch_id").parquet(path)
+    _write(by_batch(hits), path, "parquet", mode, run)
 
 
-def write_masked(docs: DataFrame, path: str, mode="append") -> None:
+def write_masked(docs: DataFrame, path: str, mode="append", run: str | None = None) -> None:
     """Masked documents as rows, partitioned by batch."""
-    by_batch(docs).write.mode(mode).partitionBy("batch_id").parquet(path)
+    _write(by_batch(docs), path, "parquet", mode, run)
 
 
-def write_masked_lines(docs: DataFrame, path: str, mode="append") -> None:
+def write_masked_lines(docs: DataFrame, path: str, mode="append", run: str | None = None) -> None:
     """Lines of the masked documents as plain text, document after document, in a folder per batch."""
     rows = by_batch(docs.select("batch_id", "doc_id", F.col("text").alias("value"))).sortWithinPartitions("batch_id", "doc_id")
-    rows.drop("doc_id").write.mode(mode).partitionBy("batch_id").text(path)
+    _write(rows.drop("doc_id"), path, "text", mode, run)
 
 
-def write_masked_json(docs: DataFrame, path: str, mode="append") -> None:
+def write_masked_json(docs: DataFrame, path: str, mode="append", run: str | None = None) -> None:
     """Masked documents as JSON lines of doc_id and text, in a folder per batch."""
-    by_batch(docs.select("batch_id", "doc_id", "text")).write.mode(mode).partitionBy("batch_id").json(path)
+    _write(by_batch(docs.select("batch_id", "doc_id", "text")), path, "json", mode, run)
 
 
-def write_sidecar(sidecar: DataFrame, path: str, mode="append") -> None:
-    by_batch(sidecar).write.mode(mode).partitionBy("batch_id").parquet(path)
+def write_sidecar(sidecar: DataFrame, path: str, mode="append", run: str | None = None) -> None:
+    _write(by_batch(sidecar), path, "parquet", mode, run)
 
 
-def write_export(payloads: DataFrame, path: str, mode="append") -> None:
+def write_export(payloads: DataFrame, path: str, mode="append", run: str | None = None) -> None:
     """One JSON line per payload, partitioned by batch."""
-    by_batch(payloads).write.mode(mode).partitionBy("batch_id").json(path)
+    _write(by_batch(payloads), path, "json", mode, run)
