@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import pickle
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from ..operators.detect import ADDERS, explode_hits
 
+#: Keyed state with lists and timers lives in this store.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass",
+               "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
 
 def stream_parquet(spark: SparkSession, folder: str, glob: str, files_per_trigger: int = 8) -> DataFrame:
     """New parquet files of a folder as a stream, with the schema of those there."""
@@ -39,86 +45,178 @@ def stream_skip_seen(files: DataFrame, arrived="arrived_at", delay="1 day") -> D
     return files.withWatermark(arrived, delay).dropDuplicatesWithinWatermark(["batch_id", "filename"])
 
 
-def stream_batch_stats(files: DataFrame, arrived="processed_at", delay="1 hour") -> DataFrame:
-    """Running totals of each batch; state is one row per batch and type."""
-    return files.withWatermark(arrived, delay).groupBy("batch_id").agg(
-        F.count("*").alias("files"), F.sum("pii_count").alias("piis"),
-        F.sum("page_count").alias("pages_processed"), F.max(arrived).alias("processed_at"))
+def stream_batch_stats(files: DataFrame, arrived="processed_at", delay="1 hour", span="1 hour") -> DataFrame:
+    """Totals of arriving files by batch, type and stretch of time, to be kept by ``upsert``.
+
+    ``files`` has batch_id, page_count, processing_time, ``breakdown`` (hits by type) and, if some failed, ``success``.
+    A row without a type holds the totals of the files themselves.  A stretch of ``span`` is part of the key, so its
+    state goes once the watermark has passed it; the totals of a batch are the sums over its stretches (``batch_totals``).
+    """
+    good = files.filter(F.coalesce("success", F.lit(True))) if "success" in files.columns else files
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    none, zero = F.lit(None).cast("string"), F.lit(0).cast("bigint")
+    whole = F.struct(none.alias("type"), F.lit(1).cast("bigint").alias("files"), zero.alias("n"),
+                     n("page_count").cast("bigint").alias("pages"), n("processing_time").cast("double").alias("spent"))
+    by_type = F.transform(F.map_entries(F.coalesce("breakdown", F.create_map().cast("map<string,bigint>"))), lambda e: F.struct(
+        e["key"].alias("type"), zero.alias("files"), e["value"].cast("bigint").alias("n"), zero.alias("pages"), F.lit(0.0).alias("spent")))
+    rows = good.withWatermark(arrived, delay).select("batch_id", arrived, F.explode(F.concat(F.array(whole), by_type)).alias("r"))
+    return rows.groupBy(F.window(arrived, span).alias("stretch"), "batch_id", F.col("r.type").alias("type")).agg(
+        F.sum("r.files").alias("files"), F.sum("r.n").alias("n"), F.sum("r.pages").alias("pages_processed"),
+        F.sum("r.spent").alias("scan_duration"), F.max(arrived).alias("processed_at"))
+
+
+STRETCH = ("stretch", "batch_id", "type")
+#: Every so many micro-batches all newest rows are written together, so that a reader needs no older ones.
+COMPACT_EVERY = 20
 
 
-def upsert_batches(path: str, key="batch_id"):
-    """A foreachBatch function that keeps the newest totals of each batch.
+def _newest(rows: DataFrame, keys) -> DataFrame:
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "v").alias("r")).select(*keys, "r.*")
 
-    Each micro-batch writes a numbered version: replaying one overwrites itself.
+
+def upsert(path: str, keys=STRETCH, every: int = COMPACT_EVERY):
+    """A foreachBatch function that keeps the newest row of each key.
+
+    A micro-batch writes the rows that changed as version ``v``; replaying it overwrites itself.  Each version that
+    ``every`` divides holds all newest rows instead.
     """
     def write(batch: DataFrame, number: int) -> None:
-        batch.withColumn("version", F.lit(number)).write.mode("overwrite").parquet(f"{path}/v={number}")
+        rows = batch.withColumn("v", F.lit(number))
+        if number and number % every == 0:
+            rows = _newest(rows.unionByName(_readable(batch.sparkSession, path, every, number)), keys)
+        rows.drop("v").write.mode("overwrite").parquet(f"{path}/v={number}")
     return write
 
 
-def latest_totals(spark: SparkSession, path: str, key="batch_id") -> DataFrame:
+def _readable(spark: SparkSession, path: str, every: int, below: int | None = None) -> DataFrame:
+    """The versions from the last whole one on (before ``below``)."""
     rows = spark.read.parquet(path)
-    return rows.groupBy(key).agg(F.max_by(F.struct(*rows.columns), "version").alias("r")).select("r.*")
+    if below is not None:
+        rows = rows.filter(F.col("v") < below)
+    whole = rows.filter(F.col("v") % every == 0).agg(F.max("v")).first()[0] or 0
+    return rows.filter(F.col("v") >= whole)
+
+
+def latest(spark: SparkSession, path: str, keys=STRETCH, every: int = COMPACT_EVERY) -> DataFrame:
+    """The newest row of each key that ``upsert`` keeps."""
+    return _newest(_readable(spark, path, every), keys).drop("v")
+
+
+def batch_totals(stretches: DataFrame) -> DataFrame:
+    """Per batch, over all its stretches: files, hits, types, breakdown, pages, time, latest."""
+    per_type = stretches.groupBy("batch_id", "type").agg(
+        F.sum("files").alias("files"), F.sum("n").alias("n"), F.sum("pages_processed").alias("pages"),
+        F.sum("scan_duration").alias("spent"), F.max("processed_at").alias("at"))
+    typed = F.when(F.col("type").isNotNull(), F.struct("type", "n"))
+    return per_type.groupBy("batch_id").agg(
+        F.sum("files").alias("files"), F.sum("n").alias("piis"), F.count("type").alias("pii_types"),
+        F.map_from_entries(F.array_sort(F.collect_list(typed))).alias("breakdown"),
+        F.sum("pages").alias("pages_processed"), F.sum("spent").alias("scan_duration"), F.max("at").alias("processed_at"))
+
+
+def in_order(events: DataFrame, keys: list[str], ts: str, order: str, carry: list[str], delay: str, bucket_ms: int,
+             opening, decide, forget, report: str) -> DataFrame:
+    """Decide a stream's events key by key in the order of (ts, order), whatever order they arrive in.
+
+    Events wait in buckets of ``bucket_ms`` until the watermark (``delay`` behind the newest event of all) has passed a
+    bucket; then ``decide(state, rows)`` sees its rows in order and returns the next state and a report for each row.
+    A key holds its waiting buckets, of which one is read at a time, and its state.  ``forget(state, now)`` returns what
+    of the state still counts at a time, and when to ask again (null: never); a state that is null is given back.
+    Events later than the watermark are dropped by Spark; events without a time are decided in the next micro-batch.
+    """
+    events.sparkSession.conf.set(*STATE_STORE)
+    width = bucket_ms * 1000
+    names = ["__at", order, *carry]
+
+    class InOrder(StatefulProcessor):
+        def init(self, handle):
+            self.handle = handle
+            self.waiting = handle.getMapState("waiting", "bucket bigint", "rows binary")
+            self.state = handle.getValueState("state", "held binary")
+
+        def handleInputRows(self, key, rows, timerValues):
+            for frame in rows:
+                frame = frame.set_axis(given, axis=1)  # by place: computed columns come without their names
+                for bucket, part in frame.groupby(frame["__at"] // width):
+                    held = self.waiting.getValue((int(bucket),))
+                    kept = pickle.loads(held[0]) if held else []
+                    kept += part[names].itertuples(index=False, name=None)
+                    self.waiting.updateValue((int(bucket),), (pickle.dumps(kept),))
+                    self.handle.registerTimer((int(bucket) + 1) * bucket_ms)
+            return iter(())
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            now = expiredTimerInfo.getExpiryTimeInMs() * 1000
+            held = self.state.get() if self.state.exists() else None
+            state = pickle.loads(held[0]) if held else opening
+            due = sorted(b for (b,) in self.waiting.keys() if (b + 1) * width <= now)
+            for bucket in due:
+                rows = sorted(pickle.loads(self.waiting.getValue((bucket,))[0]), key=lambda r: r[:2])
+                state, reports = decide(state, rows)
+                self.waiting.removeKey((bucket,))
+                out = pd.DataFrame([(*key, *r, *x) for r, x in zip(rows, reports)])
+                yield out.set_axis([*keys, *names, *reported], axis=1)
+            # what waits still may be as old as the start of the bucket that this time lies in
+            state, again = forget(state, now // width * width)
+            if state is None:
+                self.state.clear()
+            else:
+                self.state.update((pickle.dumps(state),))
+                if again is not None:
+                    self.handle.registerTimer((again // width + 1) * bucket_ms)
+
+        def close(self):
+            pass
+
+    reported = [f.split()[0] for f in report.split(", ")]
+    at = F.coalesce(F.unix_micros(F.col(ts).cast("timestamp")), F.lit(0)).alias("__at")
+    timed = events.withWatermark(ts, delay).select(*keys, ts, at, order, *carry)
+    given, kinds = timed.columns, {f.name: f.dataType.simpleString() for f in timed.schema.fields}
+    shape = ", ".join([f"`{c}` {kinds[c]}" for c in [*keys, *names]] + [report])
+    out = timed.groupBy(*keys).transformWithStateInPandas(InOrder(), shape, "append", "EventTime")
+    return out.select(*keys, F.when(F.col("__at") != 0, F.timestamp_micros("__at")).cast(kinds[ts]).alias(ts), order, *carry, *reported)
 
 
 def stream_rate_limit(events: DataFrame, most: int, window: float, keys=("endpoint", "client"), ts="ts",
-                      order="event_id", delay="1 hour") -> DataFrame:
-    """Exact limiter on a stream.  State per key: at most ``most`` admitted times.
-
-    Events may be late by ``delay``; once the watermark has passed a key's last
-    admitted time by a window, its state is given back.
-    """
-    keys = list(keys)
+                      order="event_id", delay="1 hour", bucket_ms: int = 60_000) -> DataFrame:
+    """Exact limiter on a stream (``in_order``).  State per key: at most ``most`` admitted times, given back once the
+    watermark has passed the last of them by a window."""
     limit = int(window * 1_000_000)
 
-    # self-contained: workers need not have this package
-    def decide(key, frames, state):
-        if state.hasTimedOut:
-            state.remove()
-            return
-        times = list(state.get[0]) if state.exists else []
-        # a key's rows of one micro-batch arrive as chunks in no given order
-        rows = pd.concat(list(frames)).sort_values([ts, order])
+    def decide(times, rows):
         passed = []
-        for now in rows[ts].astype("datetime64[us]").astype("int64"):
-            times = [t for t in times if now - t < limit]
-            ok = len(times) < most
-            passed.append(ok)
-            if ok:
-                times.append(int(now))
-        state.update((times,))
-        state.setTimeoutTimestamp((max(times) + limit) // 1000 + 1)
-        rows["admitted"] = passed
-        yield rows[[*keys, ts, order, "admitted"]]
-
-    fields = {f.name: f.dataType.simpleString() for f in events.schema.fields}
-    out = ", ".join(f"{c} {fields[c]}" for c in [*keys, ts, order]) + ", admitted boolean"
-    timed = events.select(*keys, ts, order).withWatermark(ts, delay)
-    return timed.groupBy(*keys).applyInPandasWithState(
-        decide, out, "times array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def stream_ledger(events: DataFrame, user="user_id", ts="ts", order="event_id", start=150) -> DataFrame:
-    """Debits admitted on a stream.  State per user: one number, the balance,
-    which must outlive any silence and so has no timeout."""
-    def decide(key, frames, state):
-        balance = state.get[0] if state.exists else start
-        rows = pd.concat(list(frames)).sort_values([ts, order])
-        passed, after = [], []
-        for amount in rows["amount"]:
+        for row in rows:
+            times = [t for t in times if row[0] - t < limit]
+            passed.append((len(times) < most,))
+            if passed[-1][0]:
+                times.append(row[0])
+        return times, passed
+
+    def forget(times, now):
+        live = [t for t in times if now - t < limit]
+        return (live, max(live) + limit) if live else (None, None)
+
+    return in_order(events, list(keys), ts, order, [], delay, bucket_ms, [], decide, forget, "admitted boolean")
+
+
+def stream_ledger(events: DataFrame, user="user_id", ts="ts", order="event_id", start=150, delay="1 hour", bucket_ms: int = 60_000) -> DataFrame:
+    """Debits admitted on a stream (``in_order``).  State per user: one number, the balance, which must outlive any
+    silence and so is never given back."""
+    def decide(balance, rows):
+        out = []
+        for row in rows:
+            amount = row[2]
+            if amount is None or amount != amount:  # null, as pandas may show it
+                out.append((None, None))
+                continue
             ok = amount <= 0 or balance >= amount
-            balance = balance - int(amount) if ok else balance
-            passed.append(ok)
-            after.append(balance)
-        state.update((int(balance),))
-        rows["admitted"], rows["balance_after"] = passed, after
-        yield rows[[user, ts, order, "amount", "admitted", "balance_after"]]
-
-    fields = {f.name: f.dataType.simpleString() for f in events.schema.fields}
-    out = f"{user} {fields[user]}, {ts} {fields[ts]}, {order} {fields[order]}, amount bigint, " \
-          "admitted boolean, balance_after bigint"
-    return events.select(user, ts, order, "amount").groupBy(user).applyInPandasWithState(
-        decide, out, "balance bigint", "append", GroupStateTimeout.NoTimeout)
+            balance -= int(amount) if ok else 0
+            out.append((ok, balance))
+        return balance, out
+
+    return in_order(events, [user], ts, order, ["amount"], delay, bucket_ms, start, decide, lambda balance, now: (balance, None),
+                    "admitted boolean, balance_after bigint")
 
 
 def progress(done: DataFrame, given: DataFrame, by: list[str], at: str) -> DataFrame:
