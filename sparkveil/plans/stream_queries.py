@@ -76,7 +76,7 @@ def _replayed(spark, events, name, jitter=3600):
     for i in range(PARTS):
         events.filter(part == i).repartition(files).write.mode("append").parquet(path)
     end = spark.range(1).select(*[
-        (F.to_timestamp(F.lit("9999-01-01")) if f.name == "ts" else F.lit(None)).cast(f.dataType).alias(f.name) for f in events.schema.fields])
+        (F.to_timestamp(F.lit("2200-01-01")) if f.name == "ts" else F.lit(None)).cast(f.dataType).alias(f.name) for f in events.schema.fields])
     end.write.mode("append").parquet(path)
     return T.stream_parquet(spark, path, "*.parquet", files_per_trigger=files)
 
@@ -91,7 +91,7 @@ def stream_rate_limit(spark, sf):
         "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("endpoint"),
         (F.col("user_id") % 4).alias("client"))
     late = _replayed(spark, e, "requests")
-    return _result(spark, T.stream_rate_limit(late, RATE, HOUR, delay="2 hours", bucket_ms=HOUR * 1000), "rate").select("event_id", "admitted")
+    return _result(spark, T.stream_rate_limit(late, RATE, HOUR, delay="2 hours", bucket_ms=24 * HOUR * 1000), "rate").select("event_id", "admitted")
 
 
 _copy("stream_rate_limit", "rate_limit")
@@ -113,7 +113,7 @@ def stream_ledger(spark, sf):
     amount = F.when(F.col("action") == "create_batch", -100).otherwise(F.col("price"))
     debits = priced.select("event_id", "ts", "user_id", amount.cast("bigint").alias("amount"))
     late = _replayed(spark, debits, "debits")
-    return _result(spark, T.stream_ledger(late, delay="2 hours", bucket_ms=HOUR * 1000), "ledger").select("event_id", "user_id", "amount", "admitted", "balance_after")
+    return _result(spark, T.stream_ledger(late, delay="2 hours", bucket_ms=24 * HOUR * 1000), "ledger").select("event_id", "user_id", "amount", "admitted", "balance_after")
 
 
 @query("stream_progress", """SELECT event_type, count(*) AS total, count(*) FILTER (WHERE value IS NOT NULL AND value >= 10) AS completed,
