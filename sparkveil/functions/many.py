@@ -14,36 +14,40 @@ FEW = 24
 
 
 def _finder():
-    """find(text, exact, loose): (start, length, string) of every place of every string; loose ones in any case.
+    """A function that, inside a worker, makes find(text, exact, loose).
 
-    ``exact`` and ``loose`` map a string to what it stands for; with that, and the string as given, a place ends.
+    It yields (start, length, string, in any case, meaning) of every place of every string; ``exact`` and ``loose``, which
+    is looked for in any case, are pairs of a string and what it stands for, the first of equal strings counts.
     """
-    import ahocorasick
+    def make():
+        import ahocorasick
 
-    def fold(s):
-        low = s.upper().lower()
-        if len(low) == len(s):
-            return low
-        return "".join(x if len(x := c.upper().lower()) == 1 else c for c in s)
+        def fold(s):
+            low = s.upper().lower()
+            if len(low) == len(s):
+                return low
+            return "".join(x if len(x := c.upper().lower()) == 1 else c for c in s)
 
-    def find(text, exact, loose):
-        for strings, any_case in ((exact, False), (loose, True)):
-            machine = ahocorasick.Automaton()
-            for v, meant in strings:
-                key = fold(v) if any_case else v
-                if key and not machine.exists(key):
-                    machine.add_word(key, (len(key), v, meant))
-            if len(machine):
-                machine.make_automaton()
-                for end, (n, v, meant) in machine.iter(fold(text) if any_case else text):
-                    yield end + 1 - n, n, v, any_case, meant
+        def find(text, exact, loose):
+            for strings, any_case in ((exact, False), (loose, True)):
+                machine = ahocorasick.Automaton()
+                for v, meant in strings:
+                    key = fold(v) if any_case else v
+                    if key and not machine.exists(key):
+                        machine.add_word(key, (len(key), v, meant))
+                if len(machine):
+                    machine.make_automaton()
+                    for end, (n, v, meant) in machine.iter(fold(text) if any_case else text):
+                        yield end + 1 - n, n, v, any_case, meant
 
-    return find
+        return find
+
+    return make
 
 
 def mask_many(block: str):
     """Column function (text, exact strings, caseless strings): all their places blanked, the longest string first."""
-    make = _finder
+    make = _finder()
 
     @F.pandas_udf("string")
     def run(texts: pd.Series, exact: pd.Series, loose: pd.Series) -> pd.Series:
@@ -76,7 +80,7 @@ def cut_many(mark: str, end: str):
 
     From left to right, the longest string that begins at a place, as an ordered alternation of all would find them.
     """
-    make = _finder
+    make = _finder()
 
     @F.pandas_udf("string")
     def run(texts: pd.Series, exact: pd.Series, types: pd.Series, loose: pd.Series, kinds: pd.Series) -> pd.Series:

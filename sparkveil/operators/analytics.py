@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.checks import strip
 from .context import classify_document
-from .dedupe import any_part, category_of, export_value, first_of_group, severity_of
+from .dedupe import any_part, category_of, export_value, severity_of
 from .ordered import stretch
 from .running import running_totals
 
@@ -270,8 +270,9 @@ def export_rows(hits: DataFrame, types=None, order=("file_ord", "hit_no")) -> Da
     if types:
         rows = rows.filter(F.col("__t").isin([t.upper() for t in types]))
     slim = rows.select("batch_id", F.col("__t").alias("type"), F.col("__v").alias("value"), *order, "filename")
-    by = {"__b": F.col("batch_id"), "__t": F.col("type"), "__v": F.col("value")}
-    return first_of_group(slim, by, list(order), {})
+    # of each value a task hands on one row, so that a value in very many files stays small
+    seen = Window.partitionBy("batch_id", "type", "value").orderBy(*order)
+    return slim.withColumn("__n", F.row_number().over(seen)).filter("__n = 1").drop("__n")
 
 
 def export_metadata(exported: DataFrame) -> DataFrame:

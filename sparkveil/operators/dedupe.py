@@ -151,29 +151,19 @@ def min_confidence(hits: DataFrame, threshold: float = 0.7) -> DataFrame:
     return hits.filter(F.coalesce(F.col("confidence"), F.lit(0.0)) >= threshold)
 
 
-def _place(hits: DataFrame, order: list[str]) -> Column | None:
-    """The place of a row as one number of fixed width, if ``order`` is one or two whole numbers."""
-    if len(order) > 2 or not all(isinstance(hits.schema[c].dataType, T.IntegralType) for c in order):
-        return None
-    if len(order) == 1:
-        return F.col(order[0])
-    high, low = (F.col(c).cast("decimal(19,0)") for c in order)
-    return high * F.lit(str(2 ** 64)).cast("decimal(20,0)") + low
-
-
-def first_of_group(hits: DataFrame, group: dict, order: list[str], counts: dict) -> DataFrame:
+def _first_of_group(hits: DataFrame, group: dict, order: list[str], counts: dict) -> DataFrame:
     """First row of each group in the given order, plus per-group aggregates.
 
-    A place of fixed width is aggregated by hash, with partial sums on the map side; its row is then fetched by group
-    and place, which spreads a hot group over all tasks.  ``order`` tells the rows of a group apart.
+    A place that is one whole number has a fixed width, so it is aggregated by hash, with partial sums on the map side;
+    its row is then fetched by group and place, which spreads a hot group over all tasks.  ``order`` tells the rows of
+    a group apart.
     """
-    keyed, keys, place = hits.withColumns(group), list(group), _place(hits, order)
-    if place is None:
+    keyed, keys = hits.withColumns(group), list(group)
+    if len(order) > 1 or not isinstance(hits.schema[order[0]].dataType, T.IntegralType):
         first = F.min_by(F.struct(*hits.columns), F.struct(*order)).alias("__first")
         return keyed.groupBy(*keys).agg(first, *[c.alias(n) for n, c in counts.items()]).select("__first.*", *counts)
-    keyed = keyed.withColumn("__p", place)
-    firsts = keyed.groupBy(*keys).agg(F.min("__p").alias("__at"), *[c.alias(n) for n, c in counts.items()])
-    found = _fetched(keyed.drop(*counts), firsts, [*keys, "__p"], [*keys, "__at"])
+    firsts = keyed.groupBy(*keys).agg(F.min(order[0]).alias("__at"), *[c.alias(n) for n, c in counts.items()])
+    found = _fetched(keyed.drop(*counts), firsts, [*keys, order[0]], [*keys, "__at"])
     return found.select(*[c for c in hits.columns if c not in counts], *counts)
 
 
@@ -199,7 +189,7 @@ def dedupe_exact(hits: DataFrame, doc=("doc_id",), order=(ROW,), with_instances=
         if "bbox" in hits.columns:
             boxed = F.when(F.col("bbox").isNotNull(), F.struct(*order, F.col("bbox").alias("bbox")))
             counts["all_bboxes"] = F.transform(F.array_sort(F.collect_list(boxed)), lambda r: r["bbox"])
-    return first_of_group(hits, group, list(order), counts)
+    return _first_of_group(hits, group, list(order), counts)
 
 
 def instances_of(hits: DataFrame, display: DataFrame, doc=("doc_id",)) -> DataFrame:
@@ -214,7 +204,7 @@ def dedupe_display(hits: DataFrame, doc=("doc_id",), order=(ROW,)) -> DataFrame:
     """First hit of each (upper-case type, normalized value) with its count."""
     group = {f"__k{i}": F.col(c) for i, c in enumerate(doc)}
     group |= {"__t": F.upper("type"), "__v": normalize_value(F.col("value"), F.col("type"))}
-    return first_of_group(hits, group, list(order), {
+    return _first_of_group(hits, group, list(order), {
         "occurrence_count": F.count("*"), "is_deduplicated": F.count("*") > 1})
 
 
@@ -271,7 +261,7 @@ def drop_substrings(hits: DataFrame, doc=("doc_id",), order=ROW) -> DataFrame:
 
     def holder(v):
         longer = F.filter("__vs", lambda w: (F.length(w["n"]) > F.length(v["n"])) & F.contains(w["n"], v["n"]))
-        return F.get(longer, F.size(longer) - 1)["r"]
+        return F.try_element_at(longer, F.lit(-1))["r"]
 
     at = _holders()(F.transform(F.when(many, F.col("__vs")), lambda v: v["n"]))
     several = several.withColumn("__at", at)

@@ -99,3 +99,33 @@ def test_spans_by_offset(spark, few):
     for a, b in rows[0][2]:
         text[a:b] = "█" * (b - a)
     assert got == {1: "".join(text), 2: "abc", 3: None}
+
+
+def test_workers_need_not_have_the_package(tmp_path):
+    import os
+    import subprocess
+    import sys
+
+    code = """
+import sys
+sys.path.insert(0, sys.argv[1])
+from compare import session
+from sparkveil.functions import geometry as G
+from sparkveil.operators import admission, crypto as K, dedupe as H, mask as M
+from pyspark.sql import functions as F
+spark = session(2)
+M.FEW = K.FEW = H.FEW = G.FEW = 0
+docs = spark.createDataFrame([(1, 'B', 'call 9876543210 now')], 'doc_id bigint, batch_id string, text string')
+hits = spark.createDataFrame([(1, 0, 'PHONE', '9876543210', '9876543210', .9), (1, 1, 'PHONE', '98765', '98765', .5)], 'doc_id bigint, hit_no int, type string, value string, normalized string, confidence double')
+sealed, side = K.hash_mask_text(docs, hits, 'pw')
+assert K.unmask_text(sealed, side, 'pw').first().text == docs.first().text
+assert H.drop_substrings(hits).count() == 1 and '987' not in M.mask_text(docs, hits).first().text
+assert G.drop_overlapping_boxes(hits.select('doc_id', F.lit(1).alias('page'), F.col('hit_no').alias('box_no'), G.box(*[F.lit(5)] * 4).alias('bbox'))).count() == 1
+e = spark.range(99).select('id', F.lit('u').alias('k'), F.lit(2).alias('amount'), F.lit(100).alias('start'))
+assert admission.admit(e, ['k', 'start'], ['id'], 'start', F.lit(False), ranges=4).filter('admitted').count() == 50
+print('done')
+"""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code, root], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert out.stdout.strip().endswith("done"), out.stderr[-3000:]

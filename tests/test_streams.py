@@ -31,8 +31,8 @@ def test_limiter_on_late_files_like_batch(spark, tmp_path, most):
     rng = random.Random(9)
     rows = [(i, START + rng.randint(0, 4000), "e", rng.choice([0, 0, 0, 1, None])) for i in range(500)]
     shape = "event_id bigint, s bigint, endpoint string, client int"
-    events = arriving(spark, str(tmp_path / "in"), rows, shape, 5, 300, rng)
-    query, got = run(spark, T.stream_rate_limit(events, most, 60, delay="10 minutes", bucket_ms=30_000), str(tmp_path / "out"))
+    events = arriving(spark, str(tmp_path / "in"), rows, shape, 3, 300, rng)
+    query, got = run(spark, T.stream_rate_limit(events, most, 60, delay="10 minutes", bucket_ms=90_000), str(tmp_path / "out"))
     e = spark.createDataFrame(rows, shape).withColumn("ts", F.timestamp_seconds("s"))
     want = {r.event_id: r.admitted for r in R.rate_limit(e, most, 60).collect()} if most else {r[0]: False for r in rows}
     assert {r.event_id: r.admitted for r in got.collect()} == want
@@ -45,8 +45,8 @@ def test_ledger_on_late_files_like_batch(spark, tmp_path):
     rng = random.Random(10)
     rows = [(i, START + rng.randint(0, 4000), rng.choice(["hot", "hot", "b"]), rng.choice([2, 5, 50, -60, 0])) for i in range(400)]
     shape = "event_id bigint, s bigint, user_id string, amount bigint"
-    events = arriving(spark, str(tmp_path / "in"), rows, shape, 4, 300, rng)
-    _, got = run(spark, T.stream_ledger(events, delay="10 minutes", bucket_ms=45_000), str(tmp_path / "out"))
+    events = arriving(spark, str(tmp_path / "in"), rows, shape, 3, 300, rng)
+    _, got = run(spark, T.stream_ledger(events, delay="10 minutes", bucket_ms=120_000), str(tmp_path / "out"))
     e = spark.createDataFrame(rows, shape).withColumns({
         "ts": F.timestamp_seconds("s"), "unlimited": F.lit(False), "start_balance": F.lit(150).cast("bigint")})
     want = {r.event_id: (r.admitted, r.balance_after) for r in L.admit_debits(e).collect()}
@@ -57,7 +57,7 @@ def test_batch_totals_with_expiry_and_compaction(spark, tmp_path):
     rng = random.Random(11)
     rows = [(i, START + i * 100 + rng.randint(0, 50), f"B{rng.randint(0, 3)}", rng.choice([{"PAN": 2, "EMAIL": 1}, {"PAN": 1}, {}, None]), rng.randint(1, 9), rng.random() > .2) for i in range(600)]
     shape = "id bigint, s bigint, batch_id string, breakdown map<string,bigint>, page_count int, success boolean"
-    events = arriving(spark, str(tmp_path / "in"), rows, shape, 12, 300, rng).filter("batch_id IS NOT NULL")
+    events = arriving(spark, str(tmp_path / "in"), rows, shape, 9, 300, rng).filter("batch_id IS NOT NULL")
     events = events.withColumns({"processed_at": F.col("ts"), "processing_time": F.lit(0.5)})
     sizes = []
     keep = T.upsert(str(tmp_path / "data"), every=4)
