@@ -22,11 +22,18 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
 
 
-def components(edges: DataFrame) -> DataFrame:
+#: Edges in a file of the tables between rounds; small tables then cost few tasks.
+FILE_EDGES = 250_000
+
+
+def components(edges: DataFrame, settled: DataFrame | None = None) -> DataFrame:
     """(node, component) of every node of ``edges`` (u, v); a component is named by its least node. No edges, no rows.
 
-    The number of rounds grows with the logarithm of the longest path; each round is a table in the shared folder.
+    ``settled``, the answer for edges seen before, stands for all of those: a tie from each node to its component is
+    enough. The number of rounds grows with the logarithm of the longest path; each round is a table in the shared folder.
     """
+    if settled is not None:
+        edges = edges.select("u", "v").unionByName(settled.select(F.col("node").alias("u"), F.col("component").alias("v")))
     now = stored(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     mark = None
     while True:
@@ -34,6 +41,6 @@ def components(edges: DataFrame) -> DataFrame:
         if new == mark or not new[0]:
             break
         mark = new
-        now = stored(_star(_star(now, True), False).distinct(), "edges")
+        now = stored(_star(_star(now, True), False).distinct().coalesce(new[0] // FILE_EDGES + 1), "edges")
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -267,12 +267,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, similarity: float = 0.8, id_col
         if new.isEmpty():
             break
         links = links.unionByName(new)
-        final = components(links.select(F.col("x").alias("u"), F.col("y").alias("v")))
+        final = components(new.select(F.col("x").alias("u"), F.col("y").alias("v")), final)
 
     queries, members_of = (stored(d, "crossing") for d in _crossing(_inside(shared, final, links), final))
     new = stored(_compared(queries, members_of, reps, texts, k, wanted), "links")
     if not new.isEmpty():
-        final = components(links.unionByName(new).select(F.col("x").alias("u"), F.col("y").alias("v")))
+        final = components(new.select(F.col("x").alias("u"), F.col("y").alias("v")), final)
     found = members.select("doc_id", "n_shingles", "node").join(final, "node", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
     return found.withColumn("kept", F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id")))
