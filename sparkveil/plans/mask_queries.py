@@ -75,21 +75,28 @@ def mask_spans(spark, sf):
     return M.mask_spans(found).select("doc_id", F.md5("text").alias("digest"))
 
 
-@query("mask_elements", f"""SELECT doc_id, element_no, md5(replace(text, concat('9', lpad(doc_id::VARCHAR, 9, '0')), repeat('█', 10))) AS digest FROM ({C.ELEMENTS})""")
+UNITS = f"SELECT doc_id * 10000 + element_no AS doc_id, text FROM ({C.ELEMENTS})"
+
+
+def _units_masked_sql(name, by):
+    """Every unit with the values found in all units of the same ``by`` blanked out, the longest first."""
+    return f"""WITH RECURSIVE {S.base_ctes(UNITS)},
+ v AS (SELECT k, list(value ORDER BY length(value) DESC, value) AS vs FROM (SELECT DISTINCT {by.format(key='doc_id')} AS k, value FROM kept) GROUP BY k)
+ SELECT e.doc_id, e.element_no AS {name}, md5(CASE WHEN vs IS NULL THEN e.text ELSE list_reduce(list_prepend(e.text, vs), lambda t, x: replace(t, x, repeat('█', length(x)))) END) AS digest
+ FROM ({C.ELEMENTS}) e LEFT JOIN v ON v.k = {by.format(key='(e.doc_id * 10000 + e.element_no)')}"""
+
+
+@query("mask_elements", _units_masked_sql("element_no", "({key} // 10000)"))
 def mask_elements(spark, sf):
     el = C.elements(spark, sf)
-    value = C.cat("9", F.lpad(F.col("doc_id").cast("string"), 9, "0"))
-    hits = el.select("doc_id").distinct().select("doc_id", F.lit(0).alias("hit_no"), F.lit("PHONE").alias("type"),
-                                                 value.alias("value"), value.alias("normalized"))
+    hits = D.detect_base(el, key=("doc_id", "element_no")).select("doc_id", "type", "value", "normalized")
     return M.mask_elements(el, hits).select("doc_id", "element_no", F.md5("text").alias("digest"))
 
 
-@query("mask_pages", f"""SELECT doc_id, element_no AS page, md5(CASE WHEN element_no % 2 = 0 THEN replace(text, concat('9', lpad(doc_id::VARCHAR, 9, '0')), repeat('█', 10)) ELSE text END) AS digest FROM ({C.ELEMENTS})""")
+@query("mask_pages", _units_masked_sql("page", "{key}"))
 def mask_pages(spark, sf):
     pages = C.elements(spark, sf).select("doc_id", F.col("element_no").alias("page"), "text")
-    value = C.cat("9", F.lpad(F.col("doc_id").cast("string"), 9, "0"))
-    hits = pages.filter(F.col("page") % 2 == 0).select("doc_id", "page", F.lit(0).alias("hit_no"), F.lit("PHONE").alias("type"),
-                                                       value.alias("value"), value.alias("normalized"))
+    hits = D.detect_base(pages, key=("doc_id", "page")).select("doc_id", "page", "type", "value", "normalized")
     return M.mask_pages(pages, hits).select("doc_id", "page", F.md5("text").alias("digest"))
 
 
