@@ -82,3 +82,14 @@ def test_batch_totals_with_expiry_and_compaction(spark, tmp_path):
         r = got[b]
         assert (r.files, r.breakdown, r.piis, r.pii_types) == (len(good), want, sum(want.values()), len(want))
         assert (r.pages_processed, r.scan_duration) == (sum(x[4] for x in good), len(good) / 2)
+
+
+def test_a_table_may_be_a_folder_of_files(spark, tmp_path):
+    rows = [(i, f"mail a{i}@b.com") for i in range(40)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(rows[:5], "doc_id bigint, text string").coalesce(1).write.parquet(f"{tmp_path}/other")
+    for glob, n in (("documents.parquet", 40), ("part-*.parquet", 5)):
+        df = T.stream_parquet(spark, str(tmp_path) if glob.startswith("doc") else f"{tmp_path}/other", glob)
+        out = f"{tmp_path}/out-{n}"
+        T.run_available(T.stream_detect(df), out)
+        assert spark.read.parquet(f"{out}/data").filter("type = 'EMAIL'").count() == n
