@@ -143,8 +143,12 @@ def attach_bbox(hits: DataFrame, blocks: DataFrame, key="doc_id", hit="hit_no")
 
     Blocks are filed under the short pieces of their texts. A value looks under the rarest of its own pieces in that
     document, and only the blocks found there are tested; both joins are on (document, piece), so a document of many
-    values and blocks is spread. An empty value lies in the first block.
+    values and blocks is spread. An empty value lies in the first block. All joins sort and merge: their sides grow with
+    the documents, and half a dozen tables that are each just small enough to be broadcast fill a driver together.
     """
+    def merged(df):
+        return df.hint("merge")
+
     values = hits.select(F.col(key).alias("__d"), "value").distinct()
     b = blocks.select(F.col(key).alias("__d"), "line_number", F.col("text").alias("__text"), "bbox")
     filed = b.select("__d", F.col("line_number").alias("__line"), F.explode(_grams(F.col("__text"), range(1, GRAM + 1))).alias("__g"))
@@ -152,10 +156,10 @@ def attach_bbox(hits: DataFrame, blocks: DataFrame, key="doc_id", hit="hit_no")
     # pieces of the value, all of one size: up to GRAM characters
     pieces = F.when(F.length("value") >= GRAM, _grams(F.col("value"), [GRAM])).otherwise(F.array(F.xxhash64("value")))
     asked = values.filter("value <> ''").select("__d", "value", F.explode(pieces).alias("__g"))
-    rare = asked.join(common, ["__d", "__g"]).groupBy("__d", "value").agg(F.min_by("__g", "__n").alias("__g"))
-    near = rare.join(filed, ["__d", "__g"]).select("__d", "value", F.col("__line").alias("line_number"))
-    empty = values.filter("value = ''").join(b.select("__d", "line_number"), "__d")
-    held = near.join(b.select("__d", "line_number", "__text"), ["__d", "line_number"]).filter(F.contains("__text", "value"))
+    rare = asked.join(merged(common), ["__d", "__g"]).groupBy("__d", "value").agg(F.min_by("__g", "__n").alias("__g"))
+    near = rare.join(merged(filed), ["__d", "__g"]).select("__d", "value", F.col("__line").alias("line_number"))
+    empty = values.filter("value = ''").join(merged(b.select("__d", "line_number")), "__d")
+    held = near.join(merged(b.select("__d", "line_number", "__text")), ["__d", "line_number"]).filter(F.contains("__text", "value"))
     first = held.select("__d", "value", "line_number").unionByName(empty).groupBy("__d", "value").agg(F.min("line_number").alias("line_number"))
-    found = first.join(b.groupBy("__d", "line_number").agg(F.first("bbox").alias("bbox")), ["__d", "line_number"])
-    return hits.join(found.select(F.col("__d").alias(key), "value", "bbox"), [key, "value"], "left")
+    found = first.join(merged(b.groupBy("__d", "line_number").agg(F.first("bbox").alias("bbox"))), ["__d", "line_number"])
+    return hits.join(merged(found.select(F.col("__d").alias(key), "value", "bbox")), [key, "value"], "left")

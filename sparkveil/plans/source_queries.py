@@ -127,8 +127,10 @@ SIZE = "(p_partkey * p_partkey * p_partkey * p_size)"
  WHEN {SIZE} < 1048576 THEN printf('%.2f KB', {SIZE} / 1024.0::DOUBLE) WHEN {SIZE} < 1073741824 THEN printf('%.2f MB', {SIZE} / 1048576.0::DOUBLE)
  WHEN {SIZE} < 1099511627776 THEN printf('%.2f GB', {SIZE} / 1073741824.0::DOUBLE) ELSE printf('%.2f TB', {SIZE} / 1099511627776.0::DOUBLE) END AS size FROM part""")
 def human_size(spark, sf):
+    # the product passes a bigint from a key of some 570,000 on
     k = F.col("p_partkey")
-    return C.table(spark, sf, "part").select(k.alias("id"), R.human_size(k * k * k * F.col("p_size")).alias("size"))
+    d = k.cast("decimal(38,0)")
+    return C.table(spark, sf, "part").select(k.alias("id"), R.human_size(d * d * d * F.col("p_size")).alias("size"))
 
 
 def _named(spark, sf):

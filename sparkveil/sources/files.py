@@ -187,18 +187,23 @@ def prefer_fallback_blocks(blocks: DataFrame, other: DataFrame, threshold=0.65,
 
 
 def human_size(c: Column) -> Column:
-    """Bytes with a unit, two decimals, base 1024; exact halves go to even."""
-    n = c.cast("bigint")
+    """Bytes with a unit, two decimals, base 1024; exact halves go to even.
+
+    Worked out in decimals, so a sum of sizes may be larger than a bigint.
+    """
+    given = c.cast("decimal(38,6)")
+    n = (given - given % 1).cast("decimal(38,0)")
 
     def shown(power, unit):
-        size = F.lit(1024 ** power).cast("bigint")
-        whole, rest = F.floor(n / size).cast("bigint"), n % size
+        size = 1024 ** power
+        rest = (n % F.lit(size).cast("decimal(38,0)")).cast("bigint")
+        whole = ((n - rest) / F.lit(size).cast("decimal(13,0)")).cast("decimal(38,0)")
         cents = F.floor(rest * 100 / size).cast("bigint")
         left = rest * 100 - cents * size
         up = (left * 2 > size) | ((left * 2 == size) & (cents % 2 == 1))
-        total = whole * 100 + cents + up.cast("bigint")
-        return F.concat(F.floor(total / 100).cast("string"), F.lit("."),
-                        F.lpad((total % 100).cast("string"), 2, "0"), F.lit(f" {unit}"))
+        cents = cents + up.cast("bigint")
+        return F.concat((whole + F.floor(cents / 100)).cast("decimal(38,0)").cast("string"), F.lit("."),
+                        F.lpad((cents % 100).cast("string"), 2, "0"), F.lit(f" {unit}"))
 
     return (
         F.when(n < 1024, shown(0, "B")).when(n < 1024 ** 2, shown(1, "KB"))
