@@ -14,7 +14,7 @@ from ..functions import catalogs as cat
 from ..functions import checks
 from ..functions.catalogs import Pattern
 from ..functions.folds import constants, first_of_runs, let, ordered_fold
-from ..functions.match import GUARDS, find_all, scannable
+from ..functions.match import FORMS, GUARDS, find_all, is_ascii, scannable
 
 HIT = (
     "struct<type:string,category:string,label:string,value:string,normalized:string,"
@@ -61,12 +61,14 @@ def has_context(text: Column, start: Column, end: Column, type_: Column) -> Colu
 
 
 def _guarded(df: DataFrame, text: str, patterns: list[Pattern]) -> DataFrame:
-    """Add the scannable text and one boolean per pre-test in use."""
+    """Add the scannable text, one boolean per pre-test in use and the reduced forms of the text that are searched."""
     body = F.coalesce(scannable(F.col(text)), F.lit(""))
     # at least two characters between the first and the last non-blank one
     df = df.withColumn("__text", F.when(body.rlike(r"(?sU)[^\s\x1c-\x1f].*[^\s\x1c-\x1f]"), body).otherwise(""))
     names = sorted({p.guard for p in patterns if p.guard})
-    return df.withColumns({f"__{n}": GUARDS[n](F.col("__text")) for n in names})
+    df = df.withColumns({"__ascii": is_ascii(F.col("__text")), **{f"__{n}": GUARDS[n](F.col("__text")) for n in names}})
+    forms = sorted({p.need[0] for p in patterns if p.need} & set(FORMS))
+    return df.withColumns({f"__{n}": F.when(F.col("__ascii"), FORMS[n](F.col("__text"))) for n in forms})
 
 
 def _find(df: DataFrame, text: str, patterns: list[Pattern], out: str, group=None) -> DataFrame:
@@ -204,7 +206,7 @@ def _finish(df: DataFrame, stages: list, out: str) -> DataFrame:
     """Apply array stages one select at a time, then drop the helpers."""
     for stage in stages:
         df = df.withColumn(out, stage(F.col(out)))
-    return df.drop("__text", *[f"__{name}" for name in GUARDS])
+    return df.drop("__text", "__ascii", *[f"__{name}" for name in [*GUARDS, *FORMS]])
 
 
 def add_base_hits(df, text="text", out="hits", types=None, catalog=None, same_span="confidence"):
