@@ -128,14 +128,15 @@ def drop_overlapping_boxes(boxes: DataFrame, page=("doc_id", "page"), order="box
 GRAM = 4
 
 
-def _grams(text: Column, sizes) -> Column:
-    """Hashes of the different pieces of the text of each size."""
+def _grams(text: Column, sizes, asked: Column | None = None) -> Column:
+    """Hashes of the different pieces of the text of each size, or of those sizes that ``asked`` holds."""
     def of(n):
         last = F.length(text) - n + 1
         return F.transform(F.when(last > 0, F.sequence(F.lit(1), last)), lambda i: F.xxhash64(F.substring(text, i, n)))
 
     none = F.array().cast("array<bigint>")
-    return F.array_distinct(F.concat(*[F.coalesce(of(n), none) for n in sizes]))
+    return F.array_distinct(F.concat(*[
+        F.coalesce(of(n) if asked is None else F.when(F.array_contains(asked, n), of(n)), none) for n in sizes]))
 
 
 def attach_bbox(hits: DataFrame, blocks: DataFrame, key="doc_id", hit="hit_no") -> DataFrame:
@@ -151,7 +152,10 @@ def attach_bbox(hits: DataFrame, blocks: DataFrame, key="doc_id", hit="hit_no")
 
     values = hits.select(F.col(key).alias("__d"), "value").distinct()
     b = blocks.select(F.col(key).alias("__d"), "line_number", F.col("text").alias("__text"), "bbox")
-    filed = b.select("__d", F.col("line_number").alias("__line"), F.explode(_grams(F.col("__text"), range(1, GRAM + 1))).alias("__g"))
+    # only pieces of sizes that are asked for in the document: one size, where all values are of some length
+    sizes = values.filter("value <> ''").groupBy("__d").agg(F.collect_set(F.least(F.length("value"), F.lit(GRAM))).alias("__sizes"))
+    filed = b.join(merged(sizes), "__d").select("__d", F.col("line_number").alias("__line"), F.explode(
+        _grams(F.col("__text"), range(1, GRAM + 1), F.col("__sizes"))).alias("__g"))
     common = filed.groupBy("__d", "__g").agg(F.count("*").alias("__n"))
     # pieces of the value, all of one size: up to GRAM characters
     pieces = F.when(F.length("value") >= GRAM, _grams(F.col("value"), [GRAM])).otherwise(F.array(F.xxhash64("value")))
