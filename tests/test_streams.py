@@ -53,6 +53,24 @@ def test_ledger_on_late_files_like_batch(spark, tmp_path):
     assert {r.event_id: (r.admitted, r.balance_after) for r in got.collect()} == want
 
 
+def test_a_key_costs_few_timers_and_may_file_its_events(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(T, "FEW_WAITING", 60)
+    rng = random.Random(12)
+    rows = [(i, START + rng.randint(0, 6000), rng.choice(["hot", "hot", "hot", "b"]), rng.choice([2, 5, 50, -60, None])) for i in range(400)]
+    shape = "event_id bigint, s bigint, user_id string, amount bigint"
+    events = arriving(spark, str(tmp_path / "in"), rows, shape, 3, 300, rng)
+    query, got = run(spark, T.stream_ledger(events, delay="10 minutes", bucket_ms=60_000), str(tmp_path / "out"))
+    e = spark.createDataFrame(rows, shape).withColumns({
+        "ts": F.timestamp_seconds("s"), "unlimited": F.lit(False), "start_balance": F.lit(150).cast("bigint")})
+    want = {r.event_id: (r.admitted, r.balance_after) for r in L.admit_debits(e).collect()}
+    found = {r.event_id: (r.admitted, r.balance_after) for r in got.collect()}
+    assert {k: v for k, v in found.items() if v[0] is not None} == {k: v for k, v in want.items() if v[0] is not None}
+    assert set(found) == set(want)
+    # about a hundred buckets for each of two keys, but only a few timers in each of the micro-batches
+    timers = [p["stateOperators"][0]["customMetrics"]["numRegisteredTimers"] for p in query.recentProgress if p["stateOperators"]]
+    assert 0 < sum(timers) < 40
+
+
 def test_batch_totals_with_expiry_and_compaction(spark, tmp_path):
     rng = random.Random(11)
     rows = [(i, START + i * 100 + rng.randint(0, 50), f"B{rng.randint(0, 3)}", rng.choice([{"PAN": 2, "EMAIL": 1}, {"PAN": 1}, {}, None]), rng.randint(1, 9), rng.random() > .2) for i in range(600)]
