@@ -11,7 +11,7 @@ from functools import reduce
 from operator import and_
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -155,8 +155,8 @@ def _first_of_group(hits: DataFrame, group: dict, order: list[str], counts: dict
     """First row of each group in the given order, plus per-group aggregates.
 
     A place that is one whole number has a fixed width, so it is aggregated by hash, with partial sums on the map side;
-    its row is then fetched by group and place, which spreads a hot group over all tasks.  ``order`` tells the rows of
-    a group apart.
+    its row is then fetched by group and place, which spreads a hot group over all tasks.  Of rows that ``order`` does
+    not tell apart one stays.
     """
     keyed, keys = hits.withColumns(group), list(group)
     if len(order) > 1 or not isinstance(hits.schema[order[0]].dataType, T.IntegralType):
@@ -164,7 +164,10 @@ def _first_of_group(hits: DataFrame, group: dict, order: list[str], counts: dict
         return keyed.groupBy(*keys).agg(first, *[c.alias(n) for n, c in counts.items()]).select("__first.*", *counts)
     firsts = keyed.groupBy(*keys).agg(F.min(order[0]).alias("__at"), *[c.alias(n) for n, c in counts.items()])
     found = _fetched(keyed.drop(*counts), firsts, [*keys, order[0]], [*keys, "__at"])
-    return found.select(*[c for c in hits.columns if c not in counts], *counts)
+    # a window of one row, which Spark applies before the shuffle too; a group has few rows here, those of its first place
+    tied = Window.partitionBy(*keys).orderBy(order[0])
+    one = found.withColumn("__n", F.row_number().over(tied)).filter("__n = 1")
+    return one.select(*[c for c in hits.columns if c not in counts], *counts)
 
 
 def _fetched(rows: DataFrame, found: DataFrame, by: list[str], theirs: list[str]) -> DataFrame:

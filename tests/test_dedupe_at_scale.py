@@ -69,6 +69,14 @@ def test_first_of_group_is_hashed_and_like_a_loop(spark):
     assert {(r.type, r.value): (r.file_ord, r.hit_no) for r in exported.collect()} == first
 
 
+def test_rows_that_share_their_place_are_one(spark):
+    rows = [(1, 7, "PAN", "ABCDE1234F", .9), (1, 7, "PAN", "ABCDE1234F", .9), (1, 9, "PAN", "ABCDE 1234F", .5), (2, None, "PAN", "X", .5), (2, None, "PAN", "X", .5)]
+    df = spark.createDataFrame(rows, HITS)
+    for dedupe in (H.dedupe_exact, H.dedupe_display):
+        got = sorted((r.doc_id, r.hit_no, r.occurrence_count) for r in dedupe(df).collect())
+        assert got == [(1, 7, 3), (2, None, 2)]
+
+
 @pytest.mark.parametrize("few", [0, 10_000])
 def test_boxes_like_a_loop(spark, monkeypatch, few):
     monkeypatch.setattr(G, "FEW", few)
