@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .folds import ordered_fold
-from .many import FEW
+from .many import FEW, lists_of
 
 BOX = "struct<x:int,y:int,width:int,height:int>"
 PADDING, MIN_HEIGHT, HEIGHT_RATIO = 5, 12, 0.55
@@ -117,7 +117,7 @@ def drop_overlapping_boxes(boxes: DataFrame, page=("doc_id", "page"), order="box
 
     many = F.size("__boxes") > FEW
     few = ordered_fold(F.when(~many, F.col("__boxes")), F.array().cast(f"array<{BOX}>"), step, "boolean")
-    side = lambda n: F.transform(F.when(many, F.col("__boxes")), lambda b: b["bbox"][n])
+    side = lambda n: lists_of("int", F.transform("__boxes", lambda b: b["bbox"][n]), many)
     at_once = _kept_boxes(share)(*[side(n) for n in ("x", "y", "width", "height")])
     marked = pages.withColumn("__keep", F.when(many, at_once).otherwise(few))
     rows = marked.select(*page, F.explode_outer(F.arrays_zip("__boxes", "__keep")).alias("m"))

@@ -1,18 +1,28 @@
 """One pass over a text for many strings, for texts that hold more of them than a native fold should walk through.
 
 Each maker returns an Arrow-batched function. The functions are self-contained, so that workers need not have this
-package, and get a null for every text that the native form serves.
+package, and get a null for every text that the native form serves, with ``lists_of`` empty lists beside it.
 """
 
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Up to so many strings of one text are handled by native expressions, which look at the text once for each.
 FEW = 24
 
 
+def lists_of(kind: str, items: Column, many: Column) -> Column:
+    """``items`` of the rows that an Arrow-batched function serves, and an empty list, not a null, in all others.
+
+    For each row that joins an Arrow batch Spark asks for the size of the batch, and a list column answers by walking back
+    over all nulls since its last list: a run of nulls would cost the square of its length, up to a whole batch.
+    """
+    return F.coalesce(F.when(many, items), F.array().cast(f"array<{kind}>"))
+
+
 def _finder():
     """A function that, inside a worker, makes find(text, exact, loose).
 

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions.checks import strip
 from ..functions.folds import first_of_runs, ordered_fold
-from ..functions.many import FEW, blank_many, mask_many
+from ..functions.many import FEW, blank_many, lists_of, mask_many
 from .detect import ADDERS
 
 BLOCK = "█"
@@ -77,7 +77,7 @@ def blanked(text: Column, items: Column) -> Column:
     block = lambda r: F.repeat(F.lit(BLOCK), F.length(r["value"]))
     few = F.aggregate(items, text, lambda t, r: replace_one(t, r, block(r)))
     many = F.size(items) > FEW
-    whole = mask_many(BLOCK)(F.when(many, text), strings_of(F.when(many, items), False), strings_of(F.when(many, items), True))
+    whole = mask_many(BLOCK)(F.when(many, text), *[lists_of("string", strings_of(items, c), many) for c in (False, True)])
     return F.when(many, whole).when(F.size(items) > 0, few).otherwise(text)
 
 
@@ -148,7 +148,7 @@ def mask_spans(docs: DataFrame, hits="hits", text="text") -> DataFrame:
     few = F.concat(F.array_join(ordered_fold(F.col("__spans"), F.lit(0), step, "string"), ""),
                    F.substring(t, F.array_max(F.transform("__spans", lambda s: s["end"])) + 1, F.length(t)))
     many = F.size("__spans") > FEW
-    ends = lambda n: F.transform(F.when(many, F.col("__spans")), lambda s: s[n])
+    ends = lambda n: lists_of("int", F.transform("__spans", lambda s: s[n]), many)
     whole = blank_many(BLOCK)(F.when(many, t), ends("start"), ends("end"))
     return rows.withColumn(text, F.when(many, whole).when(F.size("__spans") > 0, few).otherwise(t)).drop("__spans")
 

@@ -3,6 +3,7 @@
 import random
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -129,3 +130,34 @@ print('done')
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     out = subprocess.run([sys.executable, "-c", code, root], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
     assert out.stdout.strip().endswith("done"), out.stderr[-3000:]
+
+
+def test_few_values_reach_the_arrow_functions_as_empty_lists(spark, monkeypatch):
+    """A run of null lists costs the square of its length in an Arrow batch."""
+    from sparkveil.functions import geometry as G
+    from sparkveil.operators import dedupe as H
+
+    def strict(kind):
+        def maker(*_):
+            @F.pandas_udf(kind)
+            def run(*cols: pd.Series) -> pd.Series:
+                lists = cols if kind.startswith("array") else cols[1:]
+                if any(x is None for c in lists for x in c):
+                    raise ValueError("a null list")
+                return pd.Series([None] * len(cols[0]), dtype=object)
+            return run
+        return maker
+
+    for module, name, kind in [(G, "_kept_boxes", "array<boolean>"), (H, "_holders", "array<int>"), (M, "mask_many", "string"),
+                               (M, "blank_many", "string"), (K, "cut_many", "string"), (K, "put_many", "string")]:
+        monkeypatch.setattr(module, name, strict(kind))
+    boxes = spark.range(5).select(F.col("id").alias("doc_id"), F.lit(0).alias("page"), "id", G.box(*[F.col("id")] * 4).alias("bbox"))
+    assert G.drop_overlapping_boxes(boxes, order="id").count() == 5
+    docs, hits = frames(spark, [(1, "a 9876543210 b", [("PHONE", "9876543210"), ("PHONE", "98765")]), (2, "nothing", []), (3, None, [])])
+    assert {r.doc_id: r.text for r in M.mask_text(docs, hits).collect()} == {1: "a ██████████ b", 2: "nothing", 3: None}
+    spans = docs.withColumn("hits", F.expr("if(doc_id = 1, array(named_struct('start', 2, 'end', 5)), null)"))
+    assert {r.doc_id: r.text for r in M.mask_spans(spans).collect()} == {1: "a ███6543210 b", 2: "nothing", 3: None}
+    rows = hits.withColumns({"confidence": F.lit(0.9), "hit_no": F.length("value")})
+    assert [r.value for r in H.drop_substrings(rows).collect()] == ["9876543210"]
+    masked, side = K.hash_mask_text(docs, hits, "p")
+    assert {r.doc_id: r.text for r in K.unmask_text(masked, side, "p").collect()} == {1: "a 9876543210 b"}
