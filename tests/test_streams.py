@@ -111,3 +111,14 @@ def test_a_table_may_be_a_folder_of_files(spark, tmp_path):
         out = f"{tmp_path}/out-{n}"
         T.run_available(T.stream_detect(df), out)
         assert spark.read.parquet(f"{out}/data").filter("type = 'EMAIL'").count() == n
+
+
+def test_newest_rows_are_hashed_and_not_sorted(spark, tmp_path):
+    keep = T.upsert(str(tmp_path / "d"))
+    shape = "stretch struct<start:timestamp,end:timestamp>, batch_id string, type string, files bigint, n bigint, pages_processed bigint, scan_duration double, processed_at timestamp"
+    row = lambda kind, n, pages: ((None, None), "B1", kind, 0, n, pages, 0.5, None)
+    for number, rows in enumerate([[row(None, 1, 1), row("PAN", 2, 9)], [row(None, 3, None)]]):
+        keep(spark.createDataFrame(rows, shape), number)
+    newest = T.latest(spark, str(tmp_path / "d"))
+    assert sorted((r.type or "", r.n, r.pages_processed) for r in newest.collect()) == [("", 3, None), ("PAN", 2, 9)]
+    assert "SortAggregate" not in newest._jdf.queryExecution().executedPlan().toString()
