@@ -11,6 +11,7 @@ from sparkveil.functions import catalogs as cat
 from sparkveil.functions.match import HEAD
 from sparkveil.operators import detect as D
 from sparkveil.plans import corpora as C
+from sparkveil.plans.mask_queries import card_hits
 
 CATALOGS = {"shape": (cat.shape_catalog(), None), "label": (cat.label_catalog(), None), "generic": (cat.generic_catalog(), 0)}
 MADE = [
@@ -72,3 +73,7 @@ def test_labels_run_on_few_patterns(spark, sf):
 
 def test_cards_are_spread(spark, sf):
     assert C.cards(spark, sf).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_hits_of_cards_are_spread(spark, sf):
+    assert card_hits(spark, sf).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
