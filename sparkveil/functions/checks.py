@@ -54,9 +54,14 @@ def luhn_ok(c: Column) -> Column:
     return F.coalesce(F.when(F.length(d) >= 14, total % 10 == 0), F.lit(False))
 
 
+# the ASCII characters among white space and separators
+ASCII_BLANKS = "\t\n\x0b\f\r \x1c\x1d\x1e\x1f"
+
+
 def strip(c: Column) -> Column:
     """Trim Unicode white space and separators from both ends."""
-    return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    wide = F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    return F.when(F.octet_length(c) == F.length(c), F.btrim(c, F.lit(ASCII_BLANKS))).otherwise(wide)
 
 
 def normalize_ws(c: Column) -> Column:

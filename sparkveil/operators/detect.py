@@ -46,15 +46,19 @@ def _hit(patterns: list[Pattern], m: Column, value, normalized, conf, context, s
     )
 
 
-def has_context(text: Column, start: Column, end: Column, type_: Column) -> Column:
-    """True when one of the type's context words lies near the hit."""
+def has_context(text: Column, start: Column, end: Column, type_: Column, ascii: Column | None = None) -> Column:
+    """True when one of the type's context words lies near the hit.
+
+    ``ascii``, where given, tells texts of ASCII characters only: there the words match the same without Unicode classes.
+    """
     left = F.greatest(start - CONTEXT_REACH, F.lit(0))
     around = F.substring(text, left + 1, end + CONTEXT_REACH - left)
 
     def any_word(near):
         chain = F.when(F.lit(False), False)
         for name, words in cat.CONTEXT_WORDS.items():
-            chain = chain.when(type_ == name, near.rlike("(?iuU)" + words))
+            wide = near.rlike("(?iuU)" + words)
+            chain = chain.when(type_ == name, wide if ascii is None else F.when(ascii, near.rlike("(?i)" + words)).otherwise(wide))
         return chain.otherwise(False)
 
     return F.when(type_.isin(list(cat.CONTEXT_WORDS)), let(around, any_word)).otherwise(False)
@@ -82,15 +86,18 @@ def _shape_hits(patterns: list[Pattern], found: Column, with_context: bool) -> C
     base = [p.confidence for p in patterns]
 
     def build(m):
-        norm = checks.normalize_ws(m["value"])
         type_ = _pick([p.type for p in patterns], m["ord"])
-        conf = checks.confidence(type_, m["value"], norm, _pick(base, m["ord"], "double"))
-        if not with_context:
-            return _hit(patterns, m, m["value"], norm, conf, F.lit(False), "SHAPE")
-        near = has_context(F.col("__text"), m["start"], m["end"], type_)
-        return let(near, lambda n: _hit(
-            patterns, m, m["value"], norm,
-            F.round(F.when(n, F.least(F.lit(0.95), conf + 0.1)).otherwise(conf), 2), n, "SHAPE"))
+
+        def scored(norm):
+            conf = checks.confidence(type_, m["value"], norm, _pick(base, m["ord"], "double"))
+            if not with_context:
+                return _hit(patterns, m, m["value"], norm, conf, F.lit(False), "SHAPE")
+            near = has_context(F.col("__text"), m["start"], m["end"], type_, F.col("__ascii"))
+            return let(near, lambda n: _hit(
+                patterns, m, m["value"], norm,
+                F.round(F.when(n, F.least(F.lit(0.95), conf + 0.1)).otherwise(conf), 2), n, "SHAPE"))
+
+        return let(checks.normalize_ws(m["value"]), scored)
 
     long_enough = F.filter(found, lambda m: F.length(checks.strip(m["value"])) >= 2)
     return F.transform(long_enough, build)
@@ -98,13 +105,15 @@ def _shape_hits(patterns: list[Pattern], found: Column, with_context: bool) -> C
 
 def not_noise(h: Column) -> Column:
     """False-positive filter: short values, short numbers, mobiles, stop words."""
-    v = checks.strip(h["value"])
-    return (
-        (F.length(v) >= 3)
-        & ~(v.rlike(r"(?U)^\d+$") & (F.length(v) < 6) & (h["type"] != "PINCODE"))
-        & ~((h["type"] == "BANK_ACCOUNT") & v.rlike(r"(?U)^[6-9]\d{9}$"))
-        & ~F.lower(v).isin(cat.STOP_VALUES)
-    )
+    def sound(v):
+        return (
+            (F.length(v) >= 3)
+            & ~((F.length(v) < 6) & (h["type"] != "PINCODE") & v.rlike(r"(?U)^\d+$"))
+            & ~((h["type"] == "BANK_ACCOUNT") & v.rlike(r"(?U)^[6-9]\d{9}$"))
+            & ~F.lower(v).isin(cat.STOP_VALUES)
+        )
+
+    return let(checks.strip(h["value"]), sound)
 
 
 def resolve_same_span(hits: Column, same_span: str = "confidence") -> Column:
@@ -146,10 +155,15 @@ def resolve_same_span(hits: Column, same_span: str = "confidence") -> Column:
             # a challenger that is itself noise still displaces the holder's row
             F.when(fresh, F.lit(0)).otherwise(s["n"]).__add__(F.when(challenges, 1).otherwise(0)).alias("n"),
         )
-        return nxt, F.struct(stored.alias("stored"), challenges.alias("challenges"), h.alias("hit"))
+        return nxt, F.struct(stored.alias("stored"), challenges.alias("challenges"))
+
+    def marked(items):
+        # the fold carries marks only; the hits join them once, at the end
+        return let(ordered_fold(items, state, step, "struct<stored:boolean,challenges:boolean>"), lambda marks: F.transform(
+            items, lambda r, i: F.struct(F.get(marks, i)["stored"].alias("stored"),
+                                         F.get(marks, i)["challenges"].alias("challenges"), r["hit"].alias("hit"))))
 
-    marks = ordered_fold(ranked, state, step, f"struct<stored:boolean,challenges:boolean,hit:{HIT}>")
-    claims = F.filter(marks, lambda m: m["challenges"])
+    claims = F.filter(let(ranked, marked), lambda m: m["challenges"])
     # the last challenger of each span decides: reverse, take the first of each run
     last = first_of_runs(
         F.reverse(claims),
@@ -180,14 +194,19 @@ def dedupe_nearby(hits: Column) -> Column:
         drop = same & (overlap | (F.abs(s["start"] - k["start"]) < NEAR))
         kept = F.struct(k["type"].alias("type"), k["norm"].alias("norm"),
                         k["start"].alias("start"), k["end"].alias("end"))
-        return F.when(drop, s).otherwise(kept), F.struct((~drop).alias("keep"), k["hit"].alias("hit"))
+        return F.when(drop, s).otherwise(kept), ~drop
 
-    marks = ordered_fold(keyed, state, step, f"struct<keep:boolean,hit:{HIT}>")
-    back = F.array_sort(F.transform(
-        F.filter(marks, lambda m: m["keep"]),
-        lambda m: F.struct(m["hit"]["start"].alias("start"), (-m["hit"]["confidence"]).alias("neg"),
-                           m["hit"]["ord"].alias("ord"), m["hit"].alias("hit")),
-    ))
+    def kept_of(a):
+        def again(k, i):
+            last = F.get(a, F.greatest(i - 1, F.lit(0)))
+            return (i > 0) & F.coalesce((last["type"] == k["type"]) & (last["norm"] == k["norm"]), F.lit(True))
+
+        # only a value that comes again can be dropped; the fold carries marks, not hits
+        folded = let(ordered_fold(a, state, step, "boolean"), lambda keep: F.filter(a, lambda k, i: F.get(keep, i)))
+        return F.when(F.size(F.filter(a, again)) > 0, folded).otherwise(a)
+
+    back = F.array_sort(F.transform(let(keyed, kept_of), lambda k: F.struct(
+        k["start"].alias("start"), k["neg"].alias("neg"), k["ord"].alias("ord"), k["hit"].alias("hit"))))
     return F.transform(back, lambda k: k["hit"])
 
 

@@ -153,3 +153,35 @@ def test_detection_needs_no_shuffle_and_reads_two_columns(spark, sf):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "ReadSchema: struct<doc_id:bigint,text:string>" in plan
     assert plan.count("posexplode") == 1 and "EvalPython" not in plan
+
+
+def test_values_that_come_again_are_dropped_as_before(spark):
+    """Near and overlapping repeats go, far ones stay, in short and in long lists of hits; a hit without a type is no repeat."""
+    rows = []
+    for doc, far in ((1, 0), (2, 30)):  # few hits, and more than one block of the fold
+        rows += [(doc, "PAN", "Ab", 0.9, 0, 2), (doc, "PAN", "aB", 0.8, 10, 12), (doc, "PAN", "ab", 0.95, 40, 42), (doc, None, "ab", 0.5, 500, 502)]
+        rows += [(doc, f"T{i}", f"v{i}", 0.5, 100 + i, 101 + i) for i in range(far)]
+    hits = spark.createDataFrame(rows, "doc int, type string, normalized string, confidence double, start int, end int")
+    full = F.struct("type", F.lit("c").alias("category"), F.lit("l").alias("label"), F.col("normalized").alias("value"), "normalized",
+                    "confidence", "start", "end", F.lit(False).alias("context"), F.lit("s").alias("source"), F.lit(1).alias("ord"))
+    kept = hits.groupBy("doc").agg(F.collect_list(full).alias("hits")).select("doc", D.dedupe_nearby(F.col("hits")).alias("hits"))
+    got = {r["doc"]: [(h["type"], h["start"]) for h in r["hits"]] for r in kept.collect()}
+    assert got[1] == [("PAN", 0), ("PAN", 40), (None, 500)]
+    assert got[2][:2] == got[1][:2] and got[2][-1] == got[1][-1] and len(got[2]) == 33
+
+
+def test_folds_over_hits_carry_marks_and_not_the_hits(spark):
+    """A hit that rides along in a fold is copied at every step of it."""
+    df = spark.createDataFrame([(1, "a@b.com")], "doc_id long, text string")
+    for same_span in ("confidence", "first"):
+        plan = D.add_base_hits(df, same_span=same_span)._jdf.queryExecution().analyzed().toString()
+        assert "keep:boolean,hit:" not in plan and "challenges:boolean,hit:" not in plan
+
+
+def test_context_words_and_blanks_in_texts_of_any_characters(spark):
+    df = spark.createDataFrame([(1, "PAN no ABCDE1234F"), (2, "pan no ABCDE1234F"), (3, "pań no ABCDE1234F é"),
+                                (4, "é Permanent Account ABCDE1234F")], "doc_id long, text string")
+    got = {r["doc_id"]: r["context"] for r in D.detect_context(df, types=["PAN"]).collect()}
+    assert got == {1: True, 2: True, 3: False, 4: True}
+    blanks = spark.createDataFrame([(" \x1c\tx y\n\x1f",), (" x y\u0085\n",), ("\n",), (None,)], "v string")
+    assert [r[0] for r in blanks.select(checks.strip(F.col("v"))).collect()] == ["x y", "x y", "", None]
