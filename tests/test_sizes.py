@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from sparkveil.functions import geometry as G
+from sparkveil.operators import crypto as K
 from sparkveil.plans.source_queries import human_size as human_size_query
 from sparkveil.sources.files import human_size
 
@@ -30,3 +31,11 @@ def test_boxes_are_attached_without_a_broadcast(spark):
     got = sorted((r.doc_id, r.value, r.bbox and r.bbox.x) for r in df.collect())
     assert got == [(1, "hello", 0), (1, "none", None), (1, "o", 0), (2, "", 0), (3, "x", None)]
     assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_keys_are_derived_in_many_short_tasks(spark):
+    """One task for each core leaves late executors idle, and the others wait for the fullest."""
+    salts = spark.createDataFrame([(bytes([i]) * 16,) for i in range(2)], "salt binary")
+    keyed = K.with_key(salts, "pw")
+    assert keyed.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+    assert {bytes(r.salt): bytes(r.key) for r in keyed.collect()} == {bytes([i]) * 16: K.derive_key("pw", bytes([i]) * 16) for i in range(2)}
