@@ -194,7 +194,7 @@ def write_detections(spark, sf):
     rows, path = C.hits(spark, sf).select("batch_id", "filename", "type", "value"), scratch_path(spark, f"sink-{uuid.uuid4().hex}")
     for _ in range(2):  # a run that is repeated is stored once
         W.write_detections(rows, path, run="first")
-    return spark.read.schema(rows.schema).parquet(path).groupBy("batch_id", "type").agg(F.count("*").alias("hits"), _digest("value"))
+    return W.read_batches(spark, path, rows.schema).groupBy("batch_id", "type").agg(F.count("*").alias("hits"), _digest("value"))
 
 
 @query("write_sidecar", f"SELECT batch_id, count(*) AS tokens, {SQL_DIGEST.format('sha256(value)')} FROM ({C.HITS}) GROUP BY 1")
